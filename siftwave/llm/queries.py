@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwave.llm import decontam, langid, packing
+from siftwave.llm import chosen_path, decontam, langid, packing
 from siftwave.llm.common import table
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, with language and cosine."""
     docs = table(spark, sf_dir, "documents")
@@ -25,6 +29,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
