@@ -19,17 +19,21 @@ from pyspark.sql import functions as F
 _U = np.uint64
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
-
-    The folder is the session's ``spark.checkpoint.dir`` (shared by all
-    executors); a local one is made only where the session names none.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``,
+    or a local one made where the session names none."""
     ctx = spark.sparkContext
-    if ctx._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="siftwave-ckpt-")
-        ctx.setCheckpointDir(where)
+    set_ = ctx._jsc.sc().getCheckpointDir()
+    if not set_.isEmpty():
+        return spark.conf.get("spark.checkpoint.dir", "") or set_.get()
+    where = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="siftwave-")
+    ctx.setCheckpointDir(where)
+    return where
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
