@@ -101,7 +101,7 @@ _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
         size = 1 << int(n).bit_length()
@@ -137,7 +137,7 @@ class Words:
             begin[inner] = w[inner]
             close[inner - 1] = w[inner - 1]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(close) + 1
-        power, inverse = _powers(n + 1)
+        power, inverse = powers(n + 1)
         acc = _BYTE[data]
         acc *= power[:n]
         np.cumsum(acc, out=acc)
