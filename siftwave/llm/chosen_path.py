@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwave.llm.common import Words, clean_ids, materialise, mix, per_batch, shingles
+from siftwave.llm.common import Words, clean_ids, materialise, mix, per_batch, raw_bytes, shingles
 
 _U = np.uint64
 
@@ -61,10 +61,11 @@ def _signatures(n: int, coords: int):
         two = np.add.reduceat(mix(sh + _U(0x1234567)), at).view(np.int64)
         flat = pa.array(sig.ravel().view(np.int16))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * coords), flat)
+        low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(coords), len(rows), [None, pa.py_buffer(sig.astype(np.uint8).tobytes())]).cast(pa.binary())
         ids = batch.column(0).take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([ids, pa.array(one), pa.array(two), pa.array(count.astype(np.int32)), lists], ["id", "one", "two", "n", "sig"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(one), pa.array(two), pa.array(count.astype(np.int32)), lists, low], ["id", "one", "two", "n", "sig", "low"])
 
-    return run, "id bigint, one bigint, two bigint, n int, sig array<smallint>"
+    return run, "id bigint, one bigint, two bigint, n int, sig array<smallint>, low binary"
 
 
 def _children(path, sig, fanout: int, coords: int):
@@ -99,8 +100,7 @@ def _compare(least: float):
             if not batch.num_rows:
                 continue
             path, ids = (np.asarray(batch.column(k)) for k in (0, 1))
-            flat = batch.column(2).flatten()
-            held.append((path, ids, np.asarray(flat).reshape(len(path), -1)))
+            held.append((path, ids, raw_bytes(batch.column(2), lower=False)[0].reshape(len(path), -1)))
             # the last path of the batch may go on in the next
             last = np.flatnonzero(path != path[-1])
             cut = int(last[-1]) + 1 if len(last) else 0
@@ -146,7 +146,9 @@ def join(
     # members of each set, and the lowest as its representative
     same = sig.select("id", "one", "two", "n").distinct().withColumn("rep", F.min("id").over(Window.partitionBy("one", "two", "n")))
     copies = same.where("id > rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    reps = materialise(sig.groupBy("one", "two", "n").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id")).groupBy("id").agg(F.first("sig").alias("sig")))
+    both = F.struct("sig", "low")
+    reps = sig.groupBy("one", "two", "n").agg(F.min_by(both, "id").alias("s"), F.min("id").alias("id")).groupBy("id").agg(F.first("s").alias("s"))
+    reps = materialise(reps.select("id", "s.sig", "s.low"))
 
     roots = [F.xxhash64(F.lit("root"), F.lit(r)) for r in range(repeats)]
     level = reps.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[_children(r, F.col("sig"), fanout, coords) for r in roots])))).alias("path"))
@@ -163,7 +165,8 @@ def join(
         level = large.join(reps, "id").select("id", F.explode(_children(F.col("path"), F.col("sig"), fanout, coords)).alias("path"))
     # three standard deviations of the estimate under the threshold
     least = threshold - 3 * (threshold * (1 - threshold) / coords) ** 0.5
-    grouped = leaves.join(reps, "id").select("path", "id", "sig").repartition("path").sortWithinPartitions("path")
+    # a byte of each token is enough to compare: it agrees by chance once in 256
+    grouped = leaves.join(reps.select("id", "low"), "id").select("path", "id", "low").repartition("path").sortWithinPartitions("path")
     near = materialise(grouped.mapInArrow(_compare(least), "a bigint, b bigint").distinct())
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()

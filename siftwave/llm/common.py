@@ -79,7 +79,7 @@ def raw_bytes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray
     """(all UTF-8 bytes of the column, row offsets); nulls read as empty."""
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    col = pc.fill_null(col.cast(pa.large_string()), "")
+    col = pc.fill_null(col.cast(pa.large_binary()), b"") if pa.types.is_binary(col.type) else pc.fill_null(col.cast(pa.large_string()), "")
     if lower:
         col = pc.utf8_lower(col)
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
