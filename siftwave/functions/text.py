@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwave.model import MAX_TOKEN_BYTES
@@ -58,22 +58,29 @@ def tokens(s: Column) -> Column:
     return F.transform(raw_tokens(s), lambda t: F.when(F.octet_length(t) < MAX_TOKEN_BYTES, fold(t)))
 
 
+def _line(have: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(have, " ", "\x01"), F.lit(" "))
+
+
 def has_phrase(have: Column, phrase: list[str]) -> Column:
     """Whether ``phrase`` occurs in ``have`` as consecutive tokens."""
     if len(phrase) == 1:
         return F.coalesce(F.array_contains(have, phrase[0]), F.lit(False))
-    want = F.array(*[F.lit(t) for t in phrase])
-    n = len(phrase)
-    return F.coalesce(F.when(F.size(have) >= n, F.exists(F.sequence(F.lit(0), F.size(have) - n), lambda i: F.slice(have, i + 1, F.lit(n)) == want)), F.lit(False))
+    return F.coalesce(F.contains(_line(have), F.lit(f" {' '.join(phrase)} ")), F.lit(False))
 
 
 def phrase_count(have: Column, phrase: list[str]) -> Column:
-    """How often ``phrase`` occurs in ``have``."""
-    n = len(phrase)
-    if n == 1:
+    """How often ``phrase`` occurs in ``have``; occurrences may overlap."""
+    if len(phrase) == 1:
         return F.coalesce(F.size(F.filter(have, lambda t: t == phrase[0])), F.lit(0))
-    want = F.array(*[F.lit(t) for t in phrase])
-    return F.coalesce(F.when(F.size(have) >= n, F.size(F.filter(F.sequence(F.lit(0), F.size(have) - n), lambda i: F.slice(have, i + 1, F.lit(n)) == want))), F.lit(0))
+    return F.coalesce(F.regexp_count(_line(have), F.lit(f"(?<= ){phrase[0]}(?= {' '.join(phrase[1:])} )")), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once however often it's used after:
+    the optimiser doesn't copy expressions through a generator."""
+    gone = [c for c in columns if c in df.columns]
+    return df.select(*[c for c in df.columns if c not in gone], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 # --------------------------------------------- the same on literals, in the driver

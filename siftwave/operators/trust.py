@@ -54,7 +54,7 @@ def pagerank(graph: DataFrame, damping: float = DAMPING, iterations: int = ITERA
     every five so that the plan stays short.  An empty graph has no ranks."""
     kind = dict(graph.dtypes)["src"]
     if graph.limit(small_edges + 1).count() <= small_edges:
-        return graph.groupBy(F.lit(1)).applyInPandas(lambda pdf: _ranks(pdf, damping, iterations), f"node {kind}, rank double")
+        return graph.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda pdf: _ranks(pdf, damping, iterations), f"node {kind}, rank double")
     spark = graph.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="siftwave-"))

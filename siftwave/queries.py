@@ -13,7 +13,7 @@ from siftwave import fixtures as X
 from siftwave.functions import bech32
 from siftwave.functions import normalize as N
 from siftwave.functions.language import detect_col
-from siftwave.functions.text import tokens
+from siftwave.functions.text import once, tokens
 from siftwave.operators import documents, reports, scrape, search, trust
 from siftwave.plans.filters import SearchFilter
 from siftwave.sources import archive
@@ -51,10 +51,10 @@ def _world(spark, sf):
 def _articles(spark, sf):
     """Articles as documents; the tier is that of the author's followers."""
     a = X.articles(spark, sf)
-    content = F.when(N.is_text_kind(F.col("kind")), tokens(F.col("content")))
+    a = once(a, words=F.when(N.is_text_kind(F.col("kind")), tokens(F.col("content"))))
     none = F.array().cast("array<string>")
     d = a.select(
-        "doc_id", F.col("id").alias("event_id"), "pubkey", "kind", "created_at", N.month_shard(F.col("created_at")).alias("shard_ym"), content.alias("content"), none.alias("title"),
+        "doc_id", F.col("id").alias("event_id"), "pubkey", "kind", "created_at", N.month_shard(F.col("created_at")).alias("shard_ym"), F.col("words").alias("content"), none.alias("title"),
         none.alias("summary"), F.lit(None).cast("string").alias("first_title"), F.col("content").alias("raw_content"), F.col("truth").alias("lang"), none.alias("tag_t"),
     )
     w = _world(spark, sf).select("pubkey", "wot_tier")
@@ -201,7 +201,7 @@ def bm25_shard(spark, sf):
 
 @query(_bm25_sql(["the", "on"]) + " SELECT doc_id, round(bm25, 6) AS bm25 FROM hit")
 def bm25_postings(spark, sf):
-    d = X.table(spark, sf, "documents").select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("content"))
+    d = once(X.table(spark, sf, "documents").select("doc_id", "text"), content=tokens(F.coalesce("text", F.lit("")))).drop("text")
     lengths = d.select("doc_id", F.size(F.filter("content", lambda t: t.isNotNull())).alias("length"))
     return search.search_postings(search.postings(d, "doc_id"), lengths, ["the", "on"], "doc_id").select("doc_id", _r(F.col("bm25")).alias("bm25"))
 
