@@ -105,6 +105,8 @@ class Index:
 
     def find(self, col: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, distance, start, end) - offsets in the normalised row."""
+        if not self.items:
+            return []
         body, at = normalise(col)
         # one byte, one character: offsets stay byte offsets on both sides
         text = body.decode("latin-1")
