@@ -208,6 +208,22 @@ def test_passages_against_brute_force(spark):
     assert all(find(60) == find(k) for k in range(60, 210))
 
 
+def test_every_passage_of_a_pair(spark):
+    r = random.Random(8)
+    new = lambda n: r.choices(VOCAB, k=n)
+    common, article, short = new(70), new(300), new(58)
+    edited = list(article)
+    for k in range(25, 300, 50):
+        edited[k] = "edited"
+    short_edited = [*short[:30], "edited", *short[31:]]
+    a = common + new(80) + article + new(90) + short
+    b = new(30) + short_edited + new(100) + common + new(60) + edited
+    got = [tuple(x)[2:] for x in compact_windows.passages(frame(spark, [" ".join(a), " ".join(b)])).collect()]
+    for at_a, at_b, n, least in ((0, 188, 70, 60), (150, 318, 300, 280), (540, 30, 58, 50)):
+        own = [x for x in got if x[2] - x[0] == at_b - at_a and x[0] >= at_a - 6 and x[1] <= at_a + n + 6]
+        assert max(x[1] - x[0] for x in own) >= least
+
+
 # ------------------------------------------------------------------------ op 5
 
 
