@@ -224,6 +224,18 @@ def test_every_passage_of_a_pair(spark):
         assert max(x[1] - x[0] for x in own) >= least
 
 
+def test_large_groups_are_compared_whole(spark):
+    r = random.Random(9)
+    passage, texts = r.choices(VOCAB, k=54), []
+    for k in range(90):
+        part = list(passage)
+        part[r.randrange(54)] = f"changed{k}"
+        texts.append(" ".join(r.choices(VOCAB, k=20) + part + r.choices(VOCAB, k=20)))
+    docs = frame(spark, [" ".join(passage), *texts])
+    few, all_ = (sorted(tuple(x) for x in compact_windows.passages(docs, bucket=b).collect()) for b in (4, 1000))
+    assert few == all_ and len({x[1] for x in few if x[0] == 0}) > 80
+
+
 # ------------------------------------------------------------------------ op 5
 
 
