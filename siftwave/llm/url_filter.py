@@ -9,9 +9,9 @@ that the models never saw: of all limits that lose at most ``max_loss`` of the
 accepted ones, the one that turns away most rejected ones for the least loss.
 
 Counts cover every labelled URL.  A gram of up to 6 bytes of context and its
-byte is one exact 64-bit key; the models that go to the executors have at most
-``max_grams`` keys: where there are more, the least count that a gram needs
-rises (the same rule for all), so the models stay in bounds on any input.
+byte is one exact 64-bit key, and none is left out.  Up to ``max_grams`` keys
+(counted first) go to the executors as one model; more stay a table, which the
+grams of the URLs are joined with part by part, with the same scores.
 
 Defined results: case is folded and the scheme left out; a null or empty URL
 has a null score and is dropped; repeated rows are scored alike and kept as
@@ -22,11 +22,14 @@ that isn't empty is kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from siftwave.llm.common import materialise, per_batch, raw_bytes
 
@@ -66,18 +69,34 @@ def grams(col: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return out, used[own[spot]]
 
 
+def _context(key: np.ndarray) -> np.ndarray:
+    return (key >> _U(56) << _U(56)) | (key & _U((1 << 56) - 1)) >> _U(8)
+
+
 class Model:
     """Counts of grams, and of the contexts that they make up, for both models."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, limit: float = -np.inf):
         by = np.argsort(keys)
         self.keys, self.counts, self.order, self.limit = keys[by], counts[by].astype(float), order, limit
-        context = (self.keys >> _U(56) << _U(56)) | (self.keys & _U((1 << 56) - 1)) >> _U(8)
-        self.contexts, inverse = np.unique(context, return_inverse=True)
+        self.contexts, inverse = np.unique(_context(self.keys), return_inverse=True)
         self.total = np.stack([np.bincount(inverse, c, len(self.contexts)) for c in self.counts.T], axis=1)
         self.kinds = np.stack([np.bincount(inverse, c > 0, len(self.contexts)) for c in self.counts.T], axis=1)
         self.able = bool(len(self.keys)) and bool((self.counts.sum(axis=0) > 0).all())
 
+    @classmethod
+    def part(cls, got: pa.Table, order: int) -> Model:
+        """Of what some grams found in the table, null where they found nothing."""
+        own = cls.__new__(cls)
+        own.order, own.limit, own.able = order, -np.inf, True
+        value = lambda names: np.stack([np.append(got[c].fill_null(0).to_numpy(), 0) for c in names], axis=1).astype(float)
+        # a last key that no gram has, so that none of the arrays is empty
+        own.keys, at = np.unique(np.append(got["key"].to_numpy().view(_U), ~_U(0)), return_index=True)
+        own.counts = value(["good", "bad"])[at]
+        own.contexts, at = np.unique(np.append(got["context"].to_numpy().view(_U), ~_U(0)), return_index=True)
+        own.total, own.kinds = value(["good_total", "bad_total"])[at], value(["good_kinds", "bad_kinds"])[at]
+        return own
+
     def scores(self, col: pa.Array) -> np.ndarray:
         """By row; NaN for empty and null URLs."""
         col = normalise(col)
@@ -85,7 +104,7 @@ class Model:
         size = np.bincount(row, minlength=len(col))
         p = np.full((key.shape[1], 2), 1 / 256)
         for k in range(self.order + 1 if self.able else 0):
-            context = (key[k] >> _U(56) << _U(56)) | (key[k] & _U((1 << 56) - 1)) >> _U(8)
+            context = _context(key[k])
             i = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
             j = np.minimum(np.searchsorted(self.keys, key[k]), len(self.keys) - 1)
             known = self.contexts[i] == context
@@ -97,6 +116,39 @@ class Model:
         return np.where(size > 0, np.round(out, 6), np.nan)
 
 
+class Stored:
+    """The same counts as tables of grams and of contexts."""
+
+    def __init__(self, table: DataFrame, order: int, limit: float = -np.inf):
+        def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(_context(np.asarray(batch.column(0)).view(_U)).view(np.int64)), batch.column(1), batch.column(2)], ["context", "good", "bad"])
+
+        self.table, self.order, self.limit = table, order, limit
+        sums = [F.sum(c).alias(f"{c}_total") for c in ("good", "bad")] + [F.sum((F.col(c) > 0).cast("bigint")).alias(f"{c}_kinds") for c in ("good", "bad")]
+        held = table.select("key", "good", "bad").mapInArrow(lambda batches: map(contexts, batches), "context bigint, good bigint, bad bigint")
+        self.contexts = materialise(held.groupBy("context").agg(*sums))
+
+    def scored(self, urls: DataFrame, part_bytes: int = 1 << 19) -> DataFrame:
+        """``urls`` (url and others) with a score; without null and empty ones."""
+        order = self.order
+        urls = urls.where("url <> ''")
+        parts = max(1, math.ceil((urls.agg(F.sum(F.octet_length("url"))).first()[0] or 0) / part_bytes))
+        urls = urls.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(parts)).cast("bigint"))
+
+        def need(got: pa.Table) -> pa.Table:
+            key = np.unique(grams(normalise(got["url"].combine_chunks()), order)[0])
+            part = np.full(len(key), got["part"][0].as_py(), np.int64)
+            return pa.table({"part": part, "key": key.view(np.int64), "context": _context(key).view(np.int64)})
+
+        def score(got: pa.Table, found: pa.Table) -> pa.Table:
+            return got.append_column("score", pa.array(Model.part(found, order).scores(got["url"].combine_chunks())))
+
+        wanted = urls.select("part", "url").groupBy("part").applyInArrow(need, "part bigint, key bigint, context bigint")
+        found = wanted.join(self.table, "key", "left").join(self.contexts, "context", "left")
+        schema = StructType([*urls.schema.fields, StructField("score", DoubleType())])
+        return urls.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(score, schema).drop("part")
+
+
 def _bin(score: np.ndarray) -> np.ndarray:
     return np.clip(np.floor((score + _REACH) * (_BINS / (2 * _REACH))), 0, _BINS - 1).astype(np.int32)
 
@@ -115,7 +167,7 @@ def calibrate(good: np.ndarray, bad: np.ndarray, max_loss: float, price: float =
 
 def fit(
     urls: DataFrame, accepted: Column, rejected: Column, url_col: str = "url", order: int = 5, max_grams: int = 2_000_000, max_loss: float = 0.005
-) -> Model:
+) -> Model | Stored:
     """``accepted`` and ``rejected`` mark the labelled rows of ``urls``."""
     slim = urls.select(F.col(url_col).cast("string").alias("url"), F.coalesce(accepted, F.lit(False)).alias("good"), F.coalesce(rejected, F.lit(False)).alias("bad"))
     slim = materialise(slim.where("(good or bad) and url <> ''").withColumn("held", F.pmod(F.xxhash64("url"), F.lit(10)) == 0))
@@ -130,15 +182,16 @@ def fit(
 
     seen = slim.where("not held").select("url", "good", "bad").mapInArrow(per_batch(count, text=0), "key bigint, good bigint, bad bigint")
     table = materialise(seen.groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
-    # grams by the power of two that their counts reach: few rows
-    levels = {r[0]: r[1] for r in table.groupBy(F.floor(F.log2(F.col("good") + F.col("bad"))).cast("int").alias("level")).count().collect()}
-    least, kept = 0, 0
-    for level in sorted(levels, reverse=True):
-        kept += levels[level]
-        if kept > max_grams:
-            least = level + 1
-            break
-    got = table.where(F.col("good") + F.col("bad") >= (1 << least)).toArrow()
+    kinds, *sums = table.agg(F.count("*"), F.sum("good"), F.sum("bad")).first()
+    if kinds > max_grams and all(sums):
+        model = Stored(table, order)
+        held = model.scored(slim.where("held").select("url", F.col("good").cast("bigint").alias("good"), F.col("bad").cast("bigint").alias("bad")))
+        at = F.floor((F.col("score") + _REACH) * (_BINS / (2 * _REACH)))
+        held = held.select(F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), at)).cast("int").alias("bin"), "good", "bad")
+        model.limit = _limit(held, max_loss)
+        return model
+    # without accepted or without rejected ones no gram has a say
+    got = (table.limit(0) if kinds > max_grams else table).toArrow()
     model = Model(got["key"].to_numpy().view(_U), np.stack([got["good"].to_numpy(), got["bad"].to_numpy()], axis=1), order)
     if not model.able:
         return model
@@ -150,15 +203,22 @@ def fit(
         return pa.RecordBatch.from_arrays([pa.array(bins), *[pa.array(np.bincount(inverse, m, len(bins)).astype(np.int64)) for m in marks]], ["bin", "good", "bad"])
 
     held = slim.where("held").select("url", "good", "bad").mapInArrow(per_batch(score, text=0), "bin int, good bigint, bad bigint")
+    model.limit = _limit(held, max_loss)
+    return model
+
+
+def _limit(held: DataFrame, max_loss: float) -> float:
     held = held.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
     hist = np.zeros((2, _BINS))
     hist[:, held["bin"].to_numpy()] = held[["good", "bad"]].to_numpy().T
-    model.limit = calibrate(*hist, max_loss)
-    return model
+    return calibrate(*hist, max_loss)
 
 
-def keep(urls: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def keep(urls: DataFrame, model: Model | Stored, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(``id_col``, url, score) of the rows that stay."""
+    slim = urls.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"))
+    if isinstance(model, Stored):
+        return model.scored(slim).where(F.col("score") >= F.lit(float(model.limit))).withColumnRenamed("id", id_col)
     shared = urls.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -166,7 +226,6 @@ def keep(urls: DataFrame, model: Model, id_col: str = "page_id", url_col: str =
         at = pa.array(np.flatnonzero(score >= shared.value.limit))
         return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(score).take(at)], ["id", "url", "score"])
 
-    slim = urls.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"))
     return slim.mapInArrow(per_batch(run), "id bigint, url string, score double").withColumnRenamed("id", id_col)
 
 

@@ -72,6 +72,17 @@ def test_url_scores(spark):
     assert len(kept & set(good)) >= 298 and not kept & set(bad)
 
 
+def test_url_scores_need_no_limit_of_grams(spark):
+    r = random.Random(4)
+    urls = [f"http://{r.choice(VOCAB)}.org/{r.choice(['casino', 'story', 'news'])}/{r.choice(VOCAB)}" for _ in range(400)]
+    pages = spark.createDataFrame([*enumerate(urls + urls[:5]), (None, "https://a.example/x"), (7, None), (8, "")], "page_id bigint, url string")
+    got = []
+    for most in (2_000_000, 100):
+        model = url_filter.fit(pages, *url_filter.seeded(pages), max_grams=most)
+        got.append((round(model.limit, 9), sorted((x[0] or -1, x[1], x[2]) for x in url_filter.keep(pages, model).collect())))
+    assert got[0] == got[1] and math.isfinite(got[0][0]) and 200 < len(got[0][1]) < 405
+
+
 def test_url_query(spark):
     assert Q.op1_url_filter(spark, SF).count() > 0
 
