@@ -1,7 +1,7 @@
 """PII (7): candidate spans judged by gradient-boosted trees.
 
-High-recall generators (byte regular expressions, run only around digits, '@'
-and '=') propose overlapping spans.  Boosted trees score each from its format
+High-recall generators (byte regular expressions, run only around digits, '@',
+'=', '_' and ':') propose overlapping spans.  Boosted trees score each from its format
 (lengths, checksums, octets, entropy, separators) and its context (keywords,
 neighbouring characters).  A threshold calibrated per kind on held-out spans
 selects; of overlapping spans the best-scored stays, then the longer, then the
@@ -40,18 +40,26 @@ _GENERATORS: list[tuple[str, bytes]] = [
     ("CARD", rb"(?<![\w.])\d{4}([ \-])\d{4,6}(?:\1\d{4,5}){1,3}(?!\w)"),
     ("SSN", rb"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
     ("IBAN", rb"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"),
-    ("SECRET", rb"(?i:token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|auth)\s*[=:]\s*[\"']?([^\s\"'#$%&*,;]{6,})"),
+    # the value up to white space, without the marks at its end, and up to its first mark
+    *[("SECRET", rb"(?i:token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|auth)\s*[=:]\s*[\"']?" + value) for value in (rb"([^\s\"']{6,})", rb"([^\s\"']{5,}[^\s\"'#$%&*,;.!?])(?=[#$%&*,;.!?]*(?:[\s\"']|$))", rb"([^\s\"'#$%&*,;]{6,})")],
     ("SECRET", rb"(?<![0-9A-Za-z])[0-9a-f]{20,64}(?![0-9A-Za-z])"),
     ("SECRET", rb"(?<!\w)(?:AKIA[0-9A-Z]{12,}|gh[pousr]_\w{20,}|sk-[\w\-]{16,}|xox[abp]-[\w\-]{10,}|[A-Za-z0-9+/_\-]{32,}={0,2})(?!\w)"),
 ]
 KINDS = list(dict.fromkeys(k for k, _ in _GENERATORS))
 _RX = [(KINDS.index(k), re.compile(p)) for k, p in _GENERATORS]
+#: without the values that may hold marks
+_PLAIN = [x for x in _RX if not x[1].pattern.endswith((rb"([^\s\"']{6,})", rb"(?:[\s\"']|$))"))]
 _SECRET = KINDS.index("SECRET")
 #: bytes of context that a generator may need on either side of an anchor
 _REACH = 96
 _ANCHOR = np.zeros(256, bool)
 _ANCHOR[48:58] = True
-_ANCHOR[[ord("@"), ord("="), ord("_")]] = True
+_ANCHOR[[ord("@"), ord("="), ord("_"), ord(":")]] = True
+_KEYWORD = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|auth)\s*[=:]\s*[\"']?$", re.I)
+#: features that only values after a keyword are judged by, the last tells those
+_SPELT = 7
+_MARKS = b"#$%&*,;.!?"
+_GLUED = re.compile(rb"[#$%&*,;.!?]*[^\s\"'#$%&*,;.!?]")
 _GOOD = [re.compile(p, re.I) for p in (rb"(?:phone|tel|call|mobile|fax|whatsapp)\W*$", rb"(?:e-?mail|contact|write to)\W*$", rb"(?:\bip|host|server|address|addr)\W*$", rb"(?:card|visa|credit|account|iban|payment)\W*$", rb"(?:token|secret|key|passw\w*|pwd|auth|bearer)\W*$", rb"(?:ssn|social security)\W*$")]
 _BAD = re.compile(rb"(?:version|release|build|\bv|page|pages|pp|order|item|isbn|issn|figure|fig|section|chapter|commit|sha\d*|md5|rev|revision|hash|\bno|serial|part|model|lot|tracking|coordinates|lat|doi)[\W_]*$", re.I)
 
@@ -79,6 +87,8 @@ def features(body: bytes, a: int, b: int, kind: int) -> list[float]:
     octets = text.split(".")
     groups = re.findall(r"\d+", text)
     packed = re.sub(r"[^0-9A-Za-z]", "", text).upper()
+    bare = span.rstrip(_MARKS)
+    tail = span[len(bare) :]
     return [
         *[float(kind == k) for k in range(len(KINDS))],
         len(text), len(digits), letters, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
@@ -89,10 +99,11 @@ def features(body: bytes, a: int, b: int, kind: int) -> list[float]:
         float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")), float(before[-1:] in (b"$", b"#", b"/", b"-", b"_", b".", b"\xac")), float(after[:1] in (b"%", b"/", b"-", b"_", b"\xc2", b"\xe2")),
         float(before[-1:] in (b"=", b":") or before[-2:-1] in (b"=", b":")), *[float(bool(rx.search(before))) for rx in _GOOD], float(bool(_BAD.search(before))),
         float(digits[:1] in ("3", "4", "5", "6") if digits else 0), float(len(set(digits)) <= 3), len(digits) / len(text), float(bool(re.fullmatch(r"(?:19|20)\d\d\D.*", text))),
+        len(tail), float(len(tail) > 1 and len(set(tail)) == 1), sum(c in _MARKS for c in bare), float(bool(_GLUED.match(after))), float(before[-1:] in (b"=", b'"', b"'")), float(letters == len(text)), float(kind == _SECRET and bool(_KEYWORD.search(before))),
     ]
 
 
-def candidates(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+def candidates(data: np.ndarray, off: np.ndarray, generators: list | None = None) -> list[tuple[int, int, int, int]]:
     """(row, start, end, kind) in bytes of the row; overlaps and all."""
     at = np.flatnonzero(_ANCHOR[data])
     if not len(at):
@@ -106,7 +117,7 @@ def candidates(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, i
     out = set()
     for r, a, b in zip(row[begin].tolist(), lo[begin].tolist(), hi[end].tolist()):
         piece, base = body[a:b], a - int(off[r])
-        for kind, rx in _RX:
+        for kind, rx in generators or _RX:
             for m in rx.finditer(piece):
                 s, e = m.span(1 if kind == _SECRET and rx.groups else 0)
                 while e > s + 1 and piece[e - 1 : e] in (b".", b"-", b" "):
@@ -175,6 +186,16 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
 
+class Judges:
+    """Trees for values after a keyword, and trees for all else."""
+
+    def __init__(self, other: Boosted, spelt: Boosted):
+        self.other, self.spelt = other, spelt
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.where(x[:, -1] > 0, self.spelt.score(x), self.other.score(x[:, :-_SPELT]))
+
+
 # ------------------------------------------------------- generated training spans
 
 
@@ -211,7 +232,8 @@ def _octets(r):
     return ".".join(str(int(v)) for v in r.integers(1, 255, 4))
 
 
-_OF = ["EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET", "SECRET", "IP"]
+_OF = ["EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET", "SECRET", "IP", "SECRET", "SECRET"]
+_KEYS = ["token", "secret", "api_key", "password", "Password", "passwd", "pwd", "access_key"]
 
 
 def _positive(r) -> tuple[str, str, str, str]:
@@ -241,6 +263,19 @@ def _span(r, k: int) -> tuple[str, str, str]:
         return f" {r.choice(['token', 'secret', 'api_key', 'password', 'API_KEY', 'access_key'])}{r.choice([' = ', '=', ': '])}{q}", str(r.choice([_hex(r, int(r.choice([16, 24, 32, 40, 64]))), _word(r) + _digits(r, 4) + "!", "sk-" + _hex(r, 32)])), q
     if k == 7:
         return str(r.choice(["", " key ", ' "'])), str(r.choice([_hex(r, 40), "AKIA" + _hex(r, 16).upper(), "ghp_" + _hex(r, 36), _hex(r, 32)])), ""
+    if k == 9:  # marks in the value
+        mark = lambda: str(r.choice(list("#$%&*,;@!")))
+        q = str(r.choice(['"', "'", "", "", ""]))
+        value = "".join(v for _ in range(int(r.integers(2, 4))) for v in (str(r.choice([_word(r), _word(r).title(), _digits(r, 3)])), mark() * int(r.integers(1, 3))))
+        if r.integers(0, 2) == 0:
+            value = "".join(r.choice(list("abcdefghiklmnoprstw0134579@$!#&"), int(r.integers(6, 11))))
+        return f" {r.choice(_KEYS)}{r.choice([' = ', '=', ': '])}{q}", value + _word(r) + str(r.choice(["", _digits(r, 1), _digits(r, 3)])), q
+    if k == 10:  # letters only: long ones anywhere, short ones where nothing else is meant
+        sep = str(r.choice(["=", ": ", " = "]))
+        value = _word(r) + _word(r)
+        while len(value) < (6 if sep == "=" else 15):
+            value += _word(r)
+        return f" {r.choice(_KEYS)}{sep}", value, ""
     return " host", ":".join(_hex(r, 4) for _ in range(8)), ""
 
 
@@ -267,28 +302,46 @@ def _negative(r) -> tuple[str, str, str]:
     ][k]
 
 
+def _spelt(r, truth: bool) -> tuple[str, str, str]:
+    """After a keyword: values of letters or with marks in them, or just prose."""
+    if truth:
+        return _span(r, int(r.integers(9, 11)))
+    return f" {r.choice([*_KEYS, 'auth'])}{r.choice([': ', ': ', ' = '])}", (_word(r) + _word(r) + _word(r))[: int(r.integers(6, 13))], ""
+
+
 @cache
-def train(train_spans: int = 3000, seed: int = 11, precision: float = 0.95) -> tuple[Boosted, np.ndarray]:
+def train(train_spans: int = 3000, seed: int = 11, precision: float = 0.95) -> tuple[Judges, np.ndarray]:
     """(trees, threshold by kind).  Half the generated spans fit the trees, the
     other half calibrates the thresholds: the lowest at which held-out spans of
-    the kind reach ``precision``, and never under 0.5."""
+    the kind reach ``precision``, and never under 0.5.  Values after a keyword are
+    judged by trees of their own, which learn from half as many spans more."""
     r = np.random.default_rng(seed)
-    x, y, kinds = [], [], []
-    for i in range(train_spans):
+    plain, spelt = [], []
+    for i in range(train_spans + train_spans // 2):
         truth = i % 2 == 0
-        pre, span, post, expected = _positive(r) if truth else (*_negative(r), "")
-        close = str(r.choice(["", ".", ",", "###", "!!", "%%%", "&&&", "$$$"]))
+        if i < train_spans:
+            pre, span, post, expected = _positive(r) if truth else (*_negative(r), "")
+        else:
+            pre, span, post, expected = *_spelt(r, truth), "SECRET" if truth else ""
+        close = str(r.choice(["", ".", ",", "###", "!!", "%%%", "&&&", "$$$", *(["***", ";"] if i >= train_spans else [])]))
         lead = " ".join(_word(r) for _ in range(int(r.integers(1, 6))))
         glue = "" if pre[-1:] in ('"', "'", "$", "#", " ", "=") or pre == " v" else " "
         body = f"{lead}{pre}{glue}".encode() + span.encode() + f"{post}{close} {_word(r)} {_word(r)}".encode()
         a = len(f"{lead}{pre}{glue}".encode())
         b = a + len(span.encode())
-        for _, s, e, kind in candidates(np.frombuffer(body, np.uint8), np.array([0, len(body)])):
-            x.append(features(body, s, e, kind))
-            y.append(float(KINDS[kind] == expected and s <= a + 1 and e >= b - 1 and e - s <= b - a + 4))
-            kinds.append(kind)
-    x, y, kinds = np.array(x, float), np.array(y), np.array(kinds)
-    fit = np.arange(len(y)) % 2 == 0
+        for into, generators, more in ((plain, _PLAIN, 4), (spelt, _RX, 1)):
+            for _, s, e, kind in candidates(np.frombuffer(body, np.uint8), np.array([0, len(body)]), generators):
+                x = features(body, s, e, kind)
+                if x[-1] if into is spelt else i < train_spans:
+                    into.append((x, float(KINDS[kind] == expected and s <= a + 1 and e >= b - 1 and e - s <= b - a + more), kind))
+    other, limit = _fitted(plain, slice(None, -_SPELT), precision)
+    own, least = _fitted(spelt, slice(None), precision)
+    return Judges(other, own), np.maximum(limit, np.where(np.arange(len(KINDS)) == _SECRET, least, 0))
+
+
+def _fitted(rows: list, which: slice, precision: float) -> tuple[Boosted, np.ndarray]:
+    x, y, kinds = (np.array(v) for v in zip(*rows))
+    x, fit = x.astype(float)[:, which], np.arange(len(y)) % 2 == 0
     model = Boosted(x[fit], y[fit])
     p, truth, kind = model.score(x[~fit]), y[~fit], kinds[~fit]
     limit = np.full(len(KINDS), 0.5)
@@ -302,7 +355,7 @@ def train(train_spans: int = 3000, seed: int = 11, precision: float = 0.95) -> t
     return model, limit
 
 
-def find(col: pa.Array, model: Boosted, limit: np.ndarray) -> dict[int, list[tuple[int, int, int, float]]]:
+def find(col: pa.Array, model: Judges, limit: np.ndarray) -> dict[int, list[tuple[int, int, int, float]]]:
     """Chosen spans by row: (start, end, kind, score) in bytes, in order."""
     data, off = raw_bytes(col, lower=False)
     cand = candidates(data, off)

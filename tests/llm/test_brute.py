@@ -297,6 +297,15 @@ def test_private_data():
     assert set(range(len(planted))) <= set(found) and not set(found) - set(range(len(planted)))
 
 
+def test_secrets_of_letters_and_marks():
+    values = ["correcthorsebattery", "p@$$w0rd1", "abc#defghijk", "Tr0ub4dor&3xyz", "x7fq2m9w4k1p"]
+    texts = [f"so {key}{v}{end} it is" for v in values for key in ("password: ", "password=") for end in ("", "###", "$$$", ".")]
+    found = pii.find(pa.array([*texts, "password: please enter it", "auth: required for all"]), *pii.train(3000))
+    want = [v for v in values for _ in range(8)]
+    got = [[t[a:b] for a, b, *_ in found.get(i, [])] for i, t in enumerate(texts)]
+    assert sum(g == [w] for g, w in zip(got, want)) >= 36 and all(g and w in g[0] for g, w in zip(got, want)) and len(texts) not in found and len(texts) + 1 not in found
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
