@@ -172,18 +172,24 @@ def matches(
     go to the executors as one automaton; a larger benchmark is cut into that
     many hash shards, each searched in its own pass, with the same result.
     """
-    items = _items(benchmark, item_id, item_text, min_chars)
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for s in range(shards):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == s) if shards > 1 else items
-        part = _search(slim, sorted((r[0], r[1]) for r in own.collect() if r[0] is not None), max_error_rate)
+    for own in _shards(benchmark, item_id, item_text, min_chars, shard_bytes):
+        part = _search(slim, own, max_error_rate)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _shards(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int, shard_bytes: int):
+    """The items, shard by shard, those with a null id last."""
+    items = _items(benchmark, id_col, text_col, min_chars)
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    for s in range(shards):
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == s) if shards > 1 else items
+        yield sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
 def _search(slim: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
     shared = slim.sparkSession.sparkContext.broadcast(items)
     built: list[Index] = []
@@ -201,7 +207,26 @@ def _search(slim: DataFrame, items: list[tuple[int, str]], rate: float) -> DataF
     return slim.mapInArrow(per_batch(run), SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    hit = matches(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[id_col] == hit["__hit"], "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
+    item_text: str = "text", max_error_rate: float = 0.05, min_chars: int = 40, shard_bytes: int = 8 << 20,
+) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, whatever their id."""
+    names, at = docs.columns, docs.columns.index(text_col)
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    for own in _shards(benchmark, item_id, item_text, min_chars, shard_bytes):
+        out = out.mapInArrow(per_batch(_clean(out.sparkSession.sparkContext.broadcast(own), at, max_error_rate), text=at), out.schema)
+    return out.toDF(*names)
+
+
+def _clean(shared, at: int, rate: float):
+    built: list[Index] = []
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not built:
+            built.append(Index(shared.value, rate))
+        keep = np.ones(batch.num_rows, bool)
+        keep[[h[0] for h in built[0].find(batch.column(at))]] = False
+        return batch.filter(pa.array(keep))
+
+    return run

@@ -43,6 +43,15 @@ def test_documents(spark, empty):
     assert all(r["doc_a"] < r["doc_b"] for r in got["passages"])
 
 
+def test_contamination_with_null_ids(spark):
+    text = "a benchmark question of some length that nobody else would ask"
+    d = spark.createDataFrame([(None, f"so {text} he said"), (None, "nothing of the kind"), (1, text), (2, "nor here")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, text), (4, "another question of more than forty characters in all")], "item_id bigint, text string")
+    assert sorted((r["doc_id"] or -1, r["item_id"]) for r in decontam.matches(d, bench).collect()) == [(-1, None), (1, None)]
+    for shard in (8 << 20, 40):
+        assert {tuple(r) for r in decontam.drop_contaminated(d, bench, shard_bytes=shard).collect()} == {(None, "nothing of the kind"), (2, "nor here")}
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pages(spark, empty):
     rows = [(1, "https://a.example/x", "<p>x"), (1, "https://a.example/x", "<p>x"), (None, "http://spam.example/" + "y" * 5000, None), (3, None, "z"), (4, "", "")]
