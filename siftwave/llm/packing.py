@@ -98,11 +98,12 @@ def pack(
     """
     size = F.greatest(F.col(size_col).cast("bigint"), F.lit(1)) if size_col else F.octet_length(F.col(text_col).cast("string")) + 1
     sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(size, F.lit(1)).cast("bigint").alias("n"))
-    sized = materialise(sized)
+    # numbered, so that rows that repeat an id have full chunks of their own
+    sized = materialise(sized.withColumn("row", F.monotonically_increasing_id()))
     c = F.lit(capacity)
-    full = sized.where(F.col("n") >= capacity).select("doc_id", F.posexplode(F.array_repeat(c, (F.col("n") / c).cast("int"))).alias("chunk", "size"))
+    full = sized.where(F.col("n") >= capacity).select("doc_id", "row", F.posexplode(F.array_repeat(c, (F.col("n") / c).cast("int"))).alias("chunk", "size"))
     full = full.select(
-        "doc_id", F.col("chunk").cast("int").alias("chunk"), F.col("size").cast("int").alias("size"), F.lit(-1).cast("bigint").alias("part"), F.xxhash64("doc_id", "chunk").alias("bin"),
+        "doc_id", F.col("chunk").cast("int").alias("chunk"), F.col("size").cast("int").alias("size"), F.lit(-1).cast("bigint").alias("part"), F.xxhash64("doc_id", "chunk", "row").alias("bin"),
         F.lit(0).alias("free"), F.lit(1).cast("bigint").alias("bins"), F.lit(1).cast("bigint").alias("lower_bound"), F.lit(0).alias("round"),
     )
     rest = sized.where(F.col("n") % c > 0).select("doc_id", (F.col("n") / c).cast("int").alias("chunk"), (F.col("n") % c).cast("int").alias("size"))

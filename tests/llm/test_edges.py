@@ -52,6 +52,15 @@ def test_contamination_with_null_ids(spark):
         assert {tuple(r) for r in decontam.drop_contaminated(d, bench, shard_bytes=shard).collect()} == {(None, "nothing of the kind"), (2, "nor here")}
 
 
+def test_full_chunks_of_repeated_ids(spark):
+    d = spark.createDataFrame([(1, "a" * 20000)] * 3 + [(None, "b" * 9000)] * 2, "doc_id bigint, text string")
+    rows = packing.pack(d).collect()
+    held = {}
+    for r in rows:
+        held[r["bin_id"]] = held.get(r["bin_id"], 0) + r["size"]
+    assert max(held.values()) <= 8192 and sum(held.values()) == 3 * 20001 + 2 * 9001
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pages(spark, empty):
     rows = [(1, "https://a.example/x", "<p>x"), (1, "https://a.example/x", "<p>x"), (None, "http://spam.example/" + "y" * 5000, None), (3, None, "z"), (4, "", "")]
