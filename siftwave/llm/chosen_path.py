@@ -1,34 +1,45 @@
 """N-gram Jaccard join (5): chosen-path join.
 
 A document is the set of its word ``n``-grams.  Documents with one and the same
-set are merged first: each is paired with the lowest id among them.  Over the
-distinct sets, each embedded as ``coords`` min-hash tokens, every repetition
-starts one tree; a node splits its sets on ``fanout`` sampled tokens, and sets
-that share a sampled token meet in a child.  A node of at most ``bucket`` sets
-is brute-forced; a larger one splits again, down to ``depth``, where whatever
-is left is brute-forced in full - so nothing is capped.  A repetition misses a
-pair at Jaccard 0.5 with probability 0.25 if it ends at depth one and about 0.4
-at depth two; ``repeats`` lowers that to under one in a thousand.  Pairs close
-by their min-hashes are then settled by the exact Jaccard of their sets.
-
-The result is factorised, so that thousands of copies don't give millions of
-pairs: (doc_a, doc_b, jaccard) with doc_a < doc_b holds each copy with the
+set are merged first, the lowest id stands for them.  Over the distinct sets,
+each embedded as ``coords`` min-hash tokens, every repetition starts one tree; a
+node splits its sets on ``fanout`` sampled tokens, and sets that share a sampled
+token meet in a child.  A node of at most ``bucket`` sets is brute-forced; a
+larger one splits again, down to ``depth`` or till a child keeps half of its
+node, as splitting doesn't thin out sets that are all alike.  What is left is
+brute-forced in full, in blocks of about ``block`` sets that are spread over
+tasks - so nothing is capped.  A repetition misses a pair at Jaccard 0.5 with
+probability 0.25 if it ends at depth one and about 0.4 at depth two;
+``repeats`` lowers that to under one in a thousand.
+
+Pairs close by their min-hashes are candidates.  Each connected component of
+them is cut into blocks of about ``block_grams`` grams; a set goes once to each
+pair of blocks it is in, and there the exact Jaccard of every candidate is
+counted on bit vectors.
+
+``join`` gives (doc_a, doc_b, jaccard) with doc_a < doc_b: each copy with the
 lowest id of its set at 1.0, and each near pair of sets by their lowest ids.
-Joining it with itself on the copies gives every pair.
+``classes`` gives one row for each document that has a copy or a near pair:
+its class (the lowest id of the connected component), the number of documents
+with its very set, and the number of other sets it is linked with.
 
 Defined results: null and empty texts and texts without a word, and rows with a
 null id, pair with nothing; a text of fewer than ``n`` words is the one gram of
-all its words; rows that repeat an id count once; an empty table gives no rows.
+all its words; rows that repeat an id count once, with the text of fewest grams;
+equal sets go by the lowest id; other columns don't matter; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.llm.common import Words, clean_ids, materialise, mix, per_batch, raw_bytes, shingles
+from siftwave.llm.common import Words, clean_ids, drop_ids, heads, materialise, mix, pack_lists, per_batch, raw_bytes, shingles, some, whole
+from siftwave.llm.graph import components
 
 _U = np.uint64
 
@@ -54,147 +65,242 @@ def _signatures(n: int, coords: int):
             return None
         at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         rows, count = row[at], np.diff(np.append(at, len(sh)))
-        sig = np.empty((len(rows), coords), np.uint16)
+        sig = np.empty((len(rows), coords), np.uint32)
         for k in range(coords):
-            sig[:, k] = mix(np.minimum.reduceat(sh * mult[k] + add[k], at)) >> _U(48)
+            sig[:, k] = mix(np.minimum.reduceat(sh * mult[k] + add[k], at)) >> _U(32)
         one = np.add.reduceat(mix(sh ^ _U(0xA5A5A5A5)), at).view(np.int64)
         two = np.add.reduceat(mix(sh + _U(0x1234567)), at).view(np.int64)
-        flat = pa.array(sig.ravel().view(np.int16))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * coords), flat)
-        low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(coords), len(rows), [None, pa.py_buffer(sig.astype(np.uint8).tobytes())]).cast(pa.binary())
         ids = batch.column(0).take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([ids, pa.array(one), pa.array(two), pa.array(count.astype(np.int32)), lists, low], ["id", "one", "two", "n", "sig", "low"])
+        # the low byte of every token first: comparing needs no more
+        planes = sig.view(np.uint8).reshape(len(rows), coords, 4)
+        planes = np.concatenate([planes[:, :, 0], planes[:, :, 1:].reshape(len(rows), -1)], axis=1)
+        return pa.RecordBatch.from_arrays([ids, pa.array(one), pa.array(two), pa.array(count.astype(np.int32)), _binary(planes)], ["id", "one", "two", "n", "sig"])
+
+    return run, "id bigint, one bigint, two bigint, n int, sig binary"
+
 
-    return run, "id bigint, one bigint, two bigint, n int, sig array<smallint>, low binary"
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
-def _children(path, sig, fanout: int, coords: int):
+def _children(path, fanout: int, coords: int):
     """The nodes under ``path`` that a set enters: ``fanout`` of its tokens, sampled by the node."""
     picks = [F.pmod(F.xxhash64(path, F.lit(k)), F.lit(coords)).cast("int") for k in range(fanout)]
-    return F.array_distinct(F.array(*[F.xxhash64(path, p, F.get(sig, p)) for p in picks]))
+    return F.array_distinct(F.array(*[F.xxhash64(path, p, F.substring("sig", p + 1, F.lit(1)), F.substring("sig", p * 3 + coords + 1, F.lit(3))) for p in picks]))
+
+
+def _blocks(own, count):
+    """(x, y) of the block pairs that a member of block ``own`` of ``count`` takes part in."""
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
 
 
 def _compare(least: float):
-    """Pairs of one path that agree in a share ``least`` of their tokens; rows come sorted by path."""
+    """Of the sets of leaves (path, x, y, own, id, low) the pairs that agree in a
+    share ``least`` of their tokens: those of two blocks, or those of one."""
 
-    def pairs(path: np.ndarray, ids: np.ndarray, sig: np.ndarray):
-        got = []
-        d, alive = 1, np.flatnonzero(path[:-1] == path[1:])
+    def pairs(cols):
+        path, x, y, own, ids = (np.asarray(c) for c in cols[:5])
+        low = raw_bytes(cols[5], lower=False)[0].reshape(len(ids), -1)
+        at = heads(path, x, y)
+        left = np.repeat(np.diff(at), np.diff(at)) - (np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at)))  # rows to the group's end
+        one = x == y
+        d, alive = 1, np.flatnonzero(left > 1)
         while len(alive):
             for s in range(0, len(alive), 1 << 16):
                 i = alive[s : s + (1 << 16)]
-                near = i[(sig[i] == sig[i + d]).mean(axis=1) >= least]
-                got.append(np.stack([ids[near], ids[near + d]], axis=1))
+                i = i[one[i] | (own[i] != own[i + d])]
+                near = i[np.count_nonzero(low[i] == low[i + d], axis=1) >= least * low.shape[1]]
+                yield np.stack([ids[near], ids[near + d]], axis=1)
             d += 1
-            alive = alive[alive + d < len(path)]
-            alive = alive[path[alive] == path[alive + d]]
-        if not got:
-            return None
-        both = np.sort(np.concatenate(got), axis=1)
-        both = np.unique(both[both[:, 0] < both[:, 1]], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"]) if len(both) else None
+            alive = alive[left[alive] > d]
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            path, ids = (np.asarray(batch.column(k)) for k in (0, 1))
-            held.append((path, ids, raw_bytes(batch.column(2), lower=False)[0].reshape(len(path), -1)))
-            # the last path of the batch may go on in the next
-            last = np.flatnonzero(path != path[-1])
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                whole = [np.concatenate(x) for x in zip(*held[:-1], tuple(x[:cut] for x in held[-1]))]
-                held = [tuple(x[cut:] for x in held[-1])]
-                if (out := pairs(*whole)) is not None:
-                    yield out
-        if held and (out := pairs(*[np.concatenate(x) for x in zip(*held)])) is not None:
-            yield out
+        held, rows = [], 0
+        for cols in whole(batches, 3):
+            for both in pairs(cols):
+                held.append(np.sort(both[both[:, 0] != both[:, 1]], axis=1))
+                rows += len(held[-1])
+                if rows > 1 << 20:
+                    yield _unique(held)
+                    held, rows = [], 0
+        if rows:
+            yield _unique(held)
 
     return run
 
 
-def _verify(n: int, threshold: float):
+def _unique(held: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.concatenate(held)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    new = np.ones(len(both), bool)
+    new[1:] = (both[1:] != both[:-1]).any(axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[new, 0]), pa.array(both[new, 1])], ["a", "b"])
+
+
+def _sets(n: int):
+    """Of (id, text, one, [(root, x, y)]) the set of the text, for each block pair."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        left, right = (_distinct(Words(batch.column(k)), n) for k in (2, 3))
-        rows = batch.num_rows
-        la, ra = (np.bincount(x[1], minlength=rows) for x in (left, right))
-        sh, row = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
-        order = np.lexsort((sh, row))
-        sh, row = sh[order], row[order]
-        same = (sh[1:] == sh[:-1]) & (row[1:] == row[:-1])
-        both = np.bincount(row[1:][same], minlength=rows)
-        j = both / np.maximum(la + ra - both, 1)
-        keep = np.flatnonzero(j >= threshold)
-        if not len(keep):
+        sh, row = _distinct(Words(batch.column(1)), n)
+        off = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        acc = np.concatenate([np.zeros(1, _U), np.cumsum(mix(sh ^ _U(0xA5A5A5A5)))])
+        # rows that repeat an id may have another text
+        right = np.flatnonzero((acc[off[1:]] - acc[off[:-1]]).view(np.int64) == np.asarray(batch.column(2)))
+        if not len(right):
             return None
-        at = pa.array(keep)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.round(j[keep], 6))], ["doc_a", "doc_b", "jaccard"])
+        grams = pack_lists((mix(sh) >> _U(32)).astype(np.uint32), off)
+        to = batch.column(3).take(pa.array(right))
+        own = pa.array(np.repeat(right, np.asarray(pc.list_value_length(to))))
+        root, x, y = to.flatten().flatten()
+        return pa.RecordBatch.from_arrays([root, x, y, batch.column(0).take(own), pa.nulls(len(own), pa.int64()), grams.take(own)], ["root", "x", "y", "a", "b", "grams"])
+
+    return per_batch(run), "root bigint, x int, y int, a bigint, b bigint, grams binary"
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 1 << 15) -> np.ndarray:
+    """Sizes of the intersections of sets ``left[k]`` and ``right[k]``, by bit
+    vectors over the elements that two sets or more have, ``width`` at a time."""
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    kinds, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    shared = count[at] > 1
+    own, at = own[shared], rank[at[shared]]
+    out = np.zeros(len(left), np.int64)
+    for s in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
+        inside = (at >= s) & (at < s + width)
+        size = min(width, int(rank[-1]) + 1 - s)
+        words = -(-size // 64)
+        bits = np.zeros((len(sets), words * 64), bool)
+        bits[own[inside], at[inside] - s] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        step = max(1, (1 << 18) // words)
+        for k in range(0, len(left), step):
+            out[k : k + step] += np.bitwise_count(bits[left[k : k + step]] & bits[right[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return out
 
-    return per_batch(run, 1 << 20, 2), "doc_a bigint, doc_b bigint, jaccard double"
 
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The same by sorting: for few sets of few pairs each."""
+    out = np.zeros(len(left), np.int64)
+    for s in range(0, len(left), 256):
+        both = [sets[k] for k in np.stack([left, right], axis=1)[s : s + 256].ravel()]
+        size = np.array([len(x) for x in both])
+        pair = np.repeat(np.arange(len(both)) // 2, size).astype(_U)
+        x = np.sort(pair << _U(32) | np.concatenate(both))
+        out[s : s + 256] = np.bincount((x[1:][x[1:] == x[:-1]] >> _U(32)).astype(np.int64), minlength=len(both) // 2)
+    return out
 
-def join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, repeats: int = 10,
-    coords: int = 64, fanout: int = 2, bucket: int = 64, depth: int = 4,
-) -> DataFrame:
-    """(doc_a, doc_b, jaccard), see above."""
+
+def _settle(threshold: float, few: int = 12):
+    """Exact Jaccard of the pairs of every block pair; its sets are the rows with null ``b``."""
+
+    def found(a, b, both, n_a, n_b):
+        value = both / np.maximum(n_a + n_b - both, 1)
+        keep = value >= threshold
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(np.round(value[keep], 6))], ["doc_a", "doc_b", "jaccard"])
+
+    def run(batches):
+        for cols in whole(batches, 3, 4096):
+            a, pair = np.asarray(cols[3]), np.asarray(cols[4].is_valid())
+            b = np.asarray(pc.fill_null(cols[4], 0))
+            data, off = raw_bytes(cols[5], lower=False)
+            at = heads(*(np.asarray(c) for c in cols[:3]))
+            small_sets, small = [], []
+            for s, e in zip(at[:-1], at[1:]):
+                where = s + np.flatnonzero(pair[s:e])
+                own = s + np.flatnonzero(~pair[s:e])
+                ids, head = np.unique(a[own], return_index=True)
+                sets = [data[off[k] : off[k + 1]].view(np.uint32) for k in own[head]]
+                if not len(where) or not len(sets):
+                    continue
+                i, j = np.searchsorted(ids, a[where]), np.searchsorted(ids, b[where])
+                size = np.array([len(x) for x in sets])
+                if len(where) > few:
+                    yield from found(a[where], b[where], intersections(sets, i, j), size[i], size[j])
+                else:
+                    small.append((a[where], b[where], i + len(small_sets), j + len(small_sets), size[i], size[j]))
+                    small_sets += sets
+            if small:
+                x, y, i, j, n_a, n_b = (np.concatenate(c) for c in zip(*small))
+                yield from found(x, y, _shared(small_sets, i, j), n_a, n_b)
+
+    return run, "doc_a bigint, doc_b bigint, jaccard double"
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, repeats: int, coords: int, fanout: int, bucket: int, depth: int, block: int, block_grams: int, max_broadcast: int):
+    """(members, near pairs): every id with the lowest of its set; the near pairs of those."""
     slim = clean_ids(docs, id_col, text_col).where("id is not null")
     run, schema = _signatures(n, coords)
     sig = materialise(slim.mapInArrow(per_batch(run), schema))
-    # members of each set, and the lowest as its representative
-    same = sig.select("id", "one", "two", "n").distinct().withColumn("rep", F.min("id").over(Window.partitionBy("one", "two", "n")))
-    copies = same.where("id > rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    both = F.struct("sig", "low")
-    reps = sig.groupBy("one", "two", "n").agg(F.min_by(both, "id").alias("s"), F.min("id").alias("id")).groupBy("id").agg(F.first("s").alias("s"))
-    reps = materialise(reps.select("id", "s.sig", "s.low"))
+    same = ["n", "one", "two"]
+    best = sig.groupBy("id").agg(F.min(F.struct(*same)).alias("s")).select("id", "s.*")
+    least = best.groupBy(*same).agg(F.min("id").alias("rep"))
+    members = materialise(best.join(least, same).select("id", "rep"))
+    reps = materialise(sig.groupBy(*same).agg(F.first("sig").alias("sig")).join(least, same).select(F.col("rep").alias("id"), "n", "one", "sig"))
 
     roots = [F.xxhash64(F.lit("root"), F.lit(r)) for r in range(repeats)]
-    level = reps.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[_children(r, F.col("sig"), fanout, coords) for r in roots])))).alias("path"))
+    level = reps.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[_children(r, fanout, coords) for r in roots])))).alias("path"), F.lit(0).cast("bigint").alias("above"))
     leaves = None
     for k in range(depth):
-        met = level.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("path"))).where("m > 1")
-        met = materialise(met)
-        small = met.where(F.col("m") <= bucket) if k + 1 < depth else met
-        small = small.select("path", "id")
+        met = level.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        met = materialise(level.join(met, "path"))
+        done = (F.col("m") <= bucket) | (F.col("above") > 0) & (F.col("m") * 2 >= F.col("above"))
+        small = (met.where(done) if k + 1 < depth else met).select("path", "id", "m")
         leaves = small if leaves is None else leaves.unionByName(small)
-        large = met.where(F.col("m") > bucket)
+        large = met.where(~done)
         if k + 1 == depth or large.isEmpty():
             break
-        level = large.join(reps, "id").select("id", F.explode(_children(F.col("path"), F.col("sig"), fanout, coords)).alias("path"))
+        level = large.join(reps, "id").select("id", F.explode(_children(F.col("path"), fanout, coords)).alias("path"), F.col("m").alias("above"))
     # three standard deviations of the estimate under the threshold
-    least = threshold - 3 * (threshold * (1 - threshold) / coords) ** 0.5
+    close = threshold - 3 * (threshold * (1 - threshold) / coords) ** 0.5
     # a byte of each token is enough to compare: it agrees by chance once in 256
-    grouped = leaves.join(reps.select("id", "low"), "id").select("path", "id", "low").repartition("path").sortWithinPartitions("path")
-    near = materialise(grouped.mapInArrow(_compare(least), "a bigint, b bigint").distinct())
-
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = slim.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    texts = materialise(texts)
-    pairs = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    check, out = _verify(n, threshold)
-    return copies.unionByName(pairs.select("a", "b", "ta", "tb").mapInArrow(check, out))
-
-
-def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
-    """(id, root) of every id in ``pairs`` but the roots: connected components by
-    alternating large-star and small-star, root = lowest id."""
-    edges = materialise(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        low = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = low.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = materialise(small)
-        if edges.exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty():
-            return after.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        edges = after
+    low = reps.select("id", F.substring("sig", F.lit(1), F.lit(coords)).alias("low"))
+    count = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("id", "path"), count).cast("int")
+    grouped = leaves.select("path", "id", own.alias("own"), F.explode(_blocks(own, count)).alias("to")).select("path", "to.x", "to.y", "own", "id")
+    grouped = grouped.join(low, "id").select("path", "x", "y", "own", "id", "low").repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
+    near = materialise(grouped.mapInArrow(_compare(close), "a bigint, b bigint").distinct())
+
+    # exact Jaccard, component by component
+    root = components(near, "a", "b")
+    root = root.unionByName(root.select(F.col("root").alias("id"), "root").distinct())
+    sized = root.join(reps.select("id", "n", "one"), "id")
+    blocks = sized.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("bigint")) / block_grams).cast("int").alias("blocks"))
+    sized = materialise(sized.join(blocks, "root").select("id", "one", "root", "blocks", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("own")))
+    to = F.transform(_blocks(F.col("own"), F.col("blocks")), lambda b: F.struct(F.col("root").alias("root"), b["x"].alias("x"), b["y"].alias("y")))
+    cut, schema = _sets(n)
+    sets = some(slim, sized.select("id", "one", to.alias("to")), max_broadcast).select("id", "text", "one", "to").mapInArrow(cut, schema)
+    places = sized.select("id", "own")
+    pairs = near.join(sized.select(F.col("id").alias("a"), "root", F.col("own").alias("p")), "a").join(places.select(F.col("id").alias("b"), F.col("own").alias("q")), "b")
+    pairs = pairs.select("root", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "a", "b", F.lit(None).cast("binary").alias("grams"))
+    settle, schema = _settle(threshold)
+    placed = sets.unionByName(pairs).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+    return members, placed.mapInArrow(settle, schema)
+
+
+_OPTIONS = {"n": 3, "threshold": 0.5, "repeats": 10, "coords": 64, "fanout": 2, "bucket": 64, "depth": 4, "block": 2048, "block_grams": 2_000_000, "max_broadcast": 2_000_000}
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_a, doc_b, jaccard), see above; ``options`` are those of ``_OPTIONS``."""
+    members, near = _near(docs, id_col, text_col, **_OPTIONS | options)
+    copies = members.where("id > rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return copies.unionByName(near)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, class_id, copies, links), see above."""
+    members, near = _near(docs, id_col, text_col, **_OPTIONS | options)
+    near = materialise(near)
+    links = near.select(F.explode(F.array("doc_a", "doc_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    root = components(near).select(F.col("id").alias("rep"), "root")
+    size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).join(links, "rep", "left").join(root, "rep", "left").where("copies > 1 or links > 0")
+    return members.join(size, "rep").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the lowest id of each group of near-duplicates; rows in no group stay."""
-    gone = components(join(docs, id_col=id_col, **options)).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """``docs`` with the lowest id of each class; rows in no class stay."""
+    return drop_ids(docs, id_col, classes(docs, id_col=id_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("id")))

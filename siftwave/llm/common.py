@@ -184,3 +184,57 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def clean_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id bigint, text string) of the rows that can take part in a search."""
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def some(docs: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """The rows of ``docs`` that ``wanted`` has the id of, with its columns; ``wanted``,
+    one row an id, is broadcast up to ``most`` rows (counted), else both are shuffled."""
+    return docs.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "id")
+
+
+def drop_ids(docs: DataFrame, id_col: str, gone: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (id bigint), which is
+    broadcast up to ``most`` rows (counted), else shuffled; null ids stay."""
+    gone = materialise(gone.select(F.col("id").alias("__gone")).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+def whole(batches: Iterator[pa.RecordBatch], keys: int, least: int = 0) -> Iterator[list[pa.Array]]:
+    """Of batches sorted by their first ``keys`` columns, all columns of complete
+    groups, ``least`` rows or more at once."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(k)[batch.num_rows - 1] for k in range(keys)]
+        same = np.ones(batch.num_rows, bool)
+        for k in range(keys):
+            same &= np.asarray(batch.column(k)) == last[k].as_py()
+        cut = batch.num_rows - int(same.sum())
+        if cut and rows + cut >= least:  # the last group may go on in the next batch
+            yield _joined([*held, batch.slice(0, cut)])
+            held, rows = [batch.slice(cut)], batch.num_rows - cut
+        else:
+            held.append(batch)
+            rows += batch.num_rows
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> list[pa.Array]:
+    return [pa.concat_arrays([b.column(k) for b in held]) for k in range(held[0].num_columns)]
+
+
+def heads(*cols: np.ndarray) -> np.ndarray:
+    """Where a new group begins, and the end, of sorted columns."""
+    new = np.zeros(len(cols[0]) + 1, bool)
+    new[0] = new[-1] = True
+    for c in cols:
+        new[1:-1] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def pack_lists(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Slices of ``values`` as binary."""
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
