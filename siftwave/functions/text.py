@@ -21,6 +21,7 @@ _RANGES = [
 ]
 CONTINUOUS = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _RANGES)
 RUNS = f"([{CONTINUOUS}]+|[\\p{{IsAlphabetic}}\\p{{N}}&&[^{CONTINUOUS}]]+)"
+WORDS = r"[\p{IsAlphabetic}\p{N}]+"
 _LONG = {"ß": "ss", "æ": "ae", "œ": "oe", "ĳ": "ij", "þ": "th"}
 
 
@@ -40,22 +41,26 @@ _FROM, _TO = _fold_map()
 
 
 def fold(s: Column) -> Column:
-    s = F.translate(F.lower(s), _FROM, _TO)
+    out = F.translate(F.lower(s), _FROM, _TO)
     for a, b in _LONG.items():
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(F.octet_length(s) == F.length(s), F.lower(s)).otherwise(out)  # nothing but case in ASCII
 
 
 def raw_tokens(s: Column) -> Column:
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
     cut = lambda r: F.when(r.rlike(f"^[{CONTINUOUS}]") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r))
-    return F.flatten(F.transform(F.regexp_extract_all(s, F.lit(RUNS), F.lit(1)), cut))
+    mixed = F.flatten(F.transform(F.regexp_extract_all(s, F.lit(RUNS), F.lit(1)), cut))
+    return F.when(s.rlike(f"[{CONTINUOUS}]"), mixed).otherwise(F.regexp_extract_all(s, F.lit(WORDS), F.lit(0)))
 
 
 def tokens(s: Column) -> Column:
     """Folded tokens by position; null where one was too long to keep."""
-    # one fold over the text, then only length tests by token: folding keeps runs apart as they were
-    return F.transform(raw_tokens(s), lambda t: F.when(F.octet_length(t) < MAX_TOKEN_BYTES, fold(t)))
+    # one fold over all of them in a line: it's the costly part, and nothing to it where all is ASCII
+    kept = F.transform(raw_tokens(s), lambda t: F.when(F.octet_length(t) < MAX_TOKEN_BYTES, t))
+    line = F.array_join(kept, "\x02", "\x01")
+    split = F.transform(F.split(fold(line), "\x02"), lambda t: F.nullif(t, F.lit("\x01")))
+    return F.when(s.isNotNull(), F.when(line == "", F.array().cast("array<string>")).otherwise(split))
 
 
 def _line(have: Column) -> Column:

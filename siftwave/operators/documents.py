@@ -10,11 +10,19 @@ from siftwave.functions.language import detect_col
 from siftwave.functions.text import tokens
 
 
-def _profile(content: Column, name: str) -> Column:
-    """A string field of a profile's JSON; null for any other type."""
-    v = F.variant_get(F.try_parse_json(content), f"$.{name}", "string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(content), f"$.{name}", "variant"))
-    return F.when(kind == "STRING", v)
+def _profile(parsed: Column, name: str) -> Column:
+    """A string field of a profile's parsed JSON; null for any other type."""
+    kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(parsed, f"$.{name}", "string"))
+
+
+def profile_fields(events: DataFrame) -> DataFrame:
+    """(pubkey, created_at, name, display_name, picture, about, nip05, website) of profile
+    events: trimmed, null where empty or not a string; ``displayName`` stands in."""
+    parsed = events.withColumn("__p", F.try_parse_json(F.coalesce("content", F.lit(""))))
+    some = lambda name: F.nullif(F.trim(_profile(F.col("__p"), name)), F.lit(""))
+    fields = {n: some(n) for n in ("name", "picture", "about", "nip05", "website")}
+    return parsed.select("pubkey", "created_at", F.coalesce(some("display_name"), some("displayName")).alias("display_name"), *[c.alias(n) for n, c in fields.items()])
 
 
 def _some(*columns: Column) -> Column:
@@ -28,18 +36,19 @@ def build(events: DataFrame, world: DataFrame | None = None, detect: bool = True
     """
     tags, content, profile = F.col("tags"), F.coalesce("content", F.lit("")), F.col("kind") == 0
     only = lambda c: F.when(profile, c)
-    title = F.concat(_some(N.tag_value(tags, "title"), N.tag_value(tags, "subject")), _some(*[only(_profile(content, k)) for k in ("name", "display_name", "displayName", "username")]))
-    summary = F.concat(_some(*[N.tag_value(tags, k) for k in ("summary", "description", "alt")]), _some(*[only(_profile(content, k)) for k in ("about", "bio")]))
+    title = F.concat(_some(N.tag_value(tags, "title"), N.tag_value(tags, "subject")), _some(*[only(_profile(F.col("__p"), k)) for k in ("name", "display_name", "displayName", "username")]))
+    summary = F.concat(_some(*[N.tag_value(tags, k) for k in ("summary", "description", "alt")]), _some(*[only(_profile(F.col("__p"), k)) for k in ("about", "bio")]))
     urls = F.concat(N.tag_values(tags, "r"), N.tag_values(tags, "u"))
-    hosts = F.filter(F.concat(F.transform(urls, N.url_host), F.array(only(N.url_host(_profile(content, "website"))))), lambda h: h.isNotNull())
+    hosts = F.filter(F.concat(F.transform(urls, N.url_host), F.array(only(N.url_host(_profile(F.col("__p"), "website"))))), lambda h: h.isNotNull())
     text = N.is_text_kind(F.col("kind"))
+    events = events.withColumn("__p", F.when(profile, F.try_parse_json(content)))
     out = events.withColumns({"__title": title, "__summary": summary}).select(
         N.fold_hex(F.col("id")).alias("event_id"), N.fold_hex(F.col("pubkey")).alias("pubkey"), "kind", "created_at", N.month_shard(F.col("created_at")).alias("shard_ym"),
         F.when(text, tokens(content)).alias("content"), F.flatten(F.transform("__title", tokens)).alias("title"), F.flatten(F.transform("__summary", tokens)).alias("summary"),
         F.get("__title", F.lit(0)).alias("first_title"), content.alias("raw_content"), F.transform(N.tag_values(tags, "t"), F.lower).alias("tag_t"),
         *[F.transform(N.tag_values(tags, k), N.fold_hex).alias(f"tag_{k}") for k in "ep"], F.transform(N.tag_values(tags, "a"), N.fold_coordinate).alias("tag_a"),
         _some(N.tag_value(tags, "d")).alias("tag_d"), F.flatten(F.transform(N.tag_values(tags, "g"), N.geohash_prefixes)).alias("tag_g"), N.tag_values(tags, "l").alias("tag_l"),
-        urls.alias("tag_url"), hosts.alias("tag_host"), _some(only(N.fold_nip05(_profile(content, "nip05")))).alias("nip05"),
+        urls.alias("tag_url"), hosts.alias("tag_host"), _some(only(N.fold_nip05(_profile(F.col("__p"), "nip05")))).alias("nip05"),
         (F.when(text, detect_col(content)) if detect else F.lit(None).cast("string")).alias("lang"),
     )
     if world is None:
@@ -48,6 +57,7 @@ def build(events: DataFrame, world: DataFrame | None = None, detect: bool = True
     return out.join(tier, F.col("pubkey") == F.col("__p"), "left").withColumn("wot_tier", F.coalesce("__t", F.lit(0).cast("tinyint"))).drop("__p", "__t")
 
 
-def write(docs: DataFrame, path: str) -> None:
-    """Monthly partitions, newest events together."""
-    docs.repartition("shard_ym").sortWithinPartitions("created_at").write.mode("append").partitionBy("shard_ym").parquet(path)
+def write(docs: DataFrame, path: str, per_file: int = 5_000_000) -> None:
+    """Monthly partitions, ranged by time: a large month is of many tasks and files."""
+    ranged = docs.repartitionByRange("shard_ym", "created_at", "event_id").sortWithinPartitions("shard_ym", "created_at")
+    ranged.write.mode("append").option("maxRecordsPerFile", per_file).partitionBy("shard_ym").parquet(path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwave.functions.normalize import fold_hex
 from siftwave.model import BM25_B, BM25_K1, BOOSTS, RECENCY_DAYS, RECENCY_WEIGHT, SKEW_S, TIER_WEIGHT
-from siftwave.plans.filters import SearchFilter, count, leaves, matches, parse_text, predicate
+from siftwave.operators.index import Index, bucket, lengths
+from siftwave.plans.filters import Node, SearchFilter, count, leaves, matches, parse_text, predicate
 
 HIT = ["event_id", "pubkey", "kind", "created_at", "score", "raw_content", "first_title", "lang", "shard_ym"]
 
@@ -22,6 +26,17 @@ def composite(bm25: Column, tier: Column, created_at: Column, now: Column) -> Co
     return bm25 * (1 + TIER_WEIGHT * tier + RECENCY_WEIGHT * recency(created_at, now))
 
 
+def _idf(df: Column, n: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _part(field: str, tf: Column, df: Column, n: Column, total: Column, length: Column) -> Column:
+    """BM25 of a term in one field, boosted."""
+    mean = F.greatest(total / n, F.lit(1e-9))
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * length / mean)
+    return F.when(tf > 0, BOOSTS[field] * _idf(df, n) * tf * (BM25_K1 + 1) / (tf + norm)).otherwise(0.0)
+
+
 def bm25(docs: DataFrame, text: str, scope: str = "global", where: Column | None = None) -> DataFrame:
     """``docs`` that match the free ``text``, with ``bm25``.
 
@@ -30,39 +45,98 @@ def bm25(docs: DataFrame, text: str, scope: str = "global", where: Column | None
     scores what matches ``where`` and the text.
     """
     tree = parse_text(text)
-    terms = leaves(tree)
-    fields = {(i, f): count(t, f) for i, t in enumerate(terms) for f in BOOSTS if t.field in (None, f)}
-    length = {f: F.coalesce(F.size(F.filter(F.col(f), lambda t: t.isNotNull())), F.lit(0)) for f in BOOSTS}
     hits = docs.where(where) if where is not None else docs
     if tree is not None:
         hits = hits.where(matches(tree))
-    if not terms:
+    if not leaves(tree):
         return hits.withColumn("bm25", F.lit(1.0))
     by = ["shard_ym"] if scope == "shard" else []
-    measures = [F.count(F.lit(1)).alias("__n")] + [F.sum(c).alias(f"__len_{f}") for f, c in length.items()] + [F.count_if(c > 0).alias(f"__df_{i}_{f}") for (i, f), c in fields.items()]
-    stats = docs.groupBy(*by).agg(*measures)
+    sizes = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__len_{f}") for f, c in lengths().items()])
+    return _scored(docs, hits, leaves(tree), sizes, by)
+
+
+def _scored(docs: DataFrame, hits: DataFrame, terms: list, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """``hits`` with ``bm25``; ``docs`` has all documents that hold a term."""
+    fields = {(i, f): count(t, f) for i, t in enumerate(terms) for f in BOOSTS if t.field in (None, f)}
+    stats = docs.groupBy(*by).agg(*[F.count_if(c > 0).alias(f"__df_{i}_{f}") for (i, f), c in fields.items()])
+    stats = stats.join(sizes, by) if by else stats.crossJoin(F.broadcast(sizes))
     hits = hits.join(F.broadcast(stats.withColumnRenamed("shard_ym", "__shard")), F.col("shard_ym") == F.col("__shard")) if by else hits.crossJoin(F.broadcast(stats))
-    score = F.lit(0.0)
+    length, score = lengths(), F.lit(0.0)
     for (i, f), tf in fields.items():
-        df, n = F.col(f"__df_{i}_{f}"), F.col("__n")
-        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = F.greatest(F.col(f"__len_{f}") / n, F.lit(1e-9))
-        norm = BM25_K1 * (1 - BM25_B + BM25_B * length[f] / mean)
-        score = score + F.when(tf > 0, BOOSTS[f] * idf * tf * (BM25_K1 + 1) / (tf + norm)).otherwise(0.0)
-    gone = [c for c in stats.columns if c.startswith("__")] + ["__shard"]
-    return hits.withColumn("bm25", score).drop(*gone)
-
-
-def search(docs: DataFrame, f: SearchFilter, now: Column | None = None, scope: str = "global") -> DataFrame:
-    """The best ``f.limit`` documents: by composite score where there's a search
-    string, else the newest.  Ties go by id."""
+        score = score + _part(f, tf, F.col(f"__df_{i}_{f}"), F.col("__n"), F.col(f"__len_{f}"), length[f])
+    return hits.withColumn("bm25", score).drop(*[c for c in stats.columns if c.startswith("__")], "__shard")
+
+
+def _bound(node) -> bool:
+    """Whether what matches must hold a term that isn't negated."""
+    if isinstance(node, Node):
+        return any(map(_bound, node.parts)) if node.op == "and" else node.op == "or" and all(map(_bound, node.parts))
+    return True
+
+
+def _terms(node) -> list:
+    return [t for p in node.parts for t in _terms(p)] if isinstance(node, Node) else [node]
+
+
+def _holds(node, held: Callable) -> Column:
+    if isinstance(node, Node):
+        parts = [_holds(p, held) for p in node.parts]
+        if node.op == "not":
+            return ~parts[0]
+        return reduce(lambda a, b: a & b if node.op == "and" else a | b, parts)
+    return held(node)
+
+
+def indexed(index: Index, text: str, scope: str = "global", where: Column | None = None) -> DataFrame:
+    """The same as ``bm25`` on an index.  Where the text is of single words, matches and
+    scores come of the words' postings alone, and then the documents are fetched; else
+    only documents that have the first word of a phrase are looked at."""
+    tree = parse_text(text)
+    docs = index.docs
+    if tree is None or not leaves(tree) or not _bound(tree):
+        return bm25(docs, text, scope, where)
+    by = ["shard_ym"] if scope == "shard" else []
+    sizes = index.sizes.withColumnsRenamed({"n": "__n", **{f"len_{f}": f"__len_{f}" for f in BOOSTS}})
+    if not by:
+        sizes = sizes.agg(*[F.sum(c).alias(c) for c in sizes.columns if c != "shard_ym"])
+    terms = leaves(tree)
+    if any(t.prefix or len(t.tokens) > 1 for t in _terms(tree)):
+        first = reduce(lambda a, b: a | b, [F.col("term").startswith(t.tokens[0]) if t.prefix and len(t.tokens) == 1 else (F.col("bucket") == bucket(F.lit(t.tokens[0]))) & (F.col("term") == t.tokens[0]) for t in terms])
+        docs = docs.join(index.postings.where(first).select("event_id").distinct(), "event_id", "left_semi")
+        hits = docs.where(where) if where is not None else docs
+        return _scored(docs, hits.where(matches(tree)), terms, sizes, by)
+    words = list(dict.fromkeys(t.tokens[0] for t in _terms(tree)))
+    own = index.postings.where(F.col("bucket").isin(*[bucket(F.lit(w)) for w in words]) & F.col("term").isin(*words))
+    name = {(w, f): f"__tf_{i}_{f}" for i, w in enumerate(words) for f in BOOSTS}
+    tf = [F.coalesce(F.max(F.when((F.col("term") == w) & (F.col("field") == f), F.col("tf"))), F.lit(0)).alias(c) for (w, f), c in name.items()]
+    size = [F.coalesce(F.max(F.when(F.col("field") == f, F.col("length"))), F.lit(0)).alias(f"__size_{f}") for f in BOOSTS]
+    rows = own.groupBy("event_id", "shard_ym").agg(*tf, *size)
+    used = {(i, f): F.col(name[t.tokens[0], f]) for i, t in enumerate(terms) for f in BOOSTS if t.field in (None, f)}
+    counted = {(t.tokens[0], f) for t in terms for f in BOOSTS if t.field in (None, f)}
+    found = own.where(reduce(lambda a, b: a | b, [(F.col("term") == w) & (F.col("field") == f) for w, f in counted]))
+    stats = found.groupBy(*by).agg(*[F.count_if((F.col("term") == t.tokens[0]) & (F.col("field") == f)).alias(f"__df_{i}_{f}") for i, t in enumerate(terms) for f in BOOSTS if t.field in (None, f)])
+    stats = stats.join(sizes, by) if by else stats.crossJoin(F.broadcast(sizes))
+    rows = rows.where(_holds(tree, lambda t: reduce(lambda a, b: a | b, [F.col(name[t.tokens[0], f]) > 0 for f in BOOSTS if t.field in (None, f)])))
+    rows = rows.join(F.broadcast(stats), by) if by else rows.crossJoin(F.broadcast(stats))
+    score = F.lit(0.0)
+    for (i, f), c in used.items():
+        score = score + _part(f, c, F.col(f"__df_{i}_{f}"), F.col("__n"), F.col(f"__len_{f}"), F.col(f"__size_{f}"))
+    rows = rows.select("event_id", score.alias("bm25"))
+    return (docs.where(where) if where is not None else docs).join(rows, "event_id")
+
+
+def search(docs: DataFrame | Index, f: SearchFilter, now: Column | None = None, scope: str = "global") -> DataFrame:
+    """The best ``f.limit`` documents, of a table or an index: by composite score where
+    there's a search string, else the newest.  Ties go by id."""
     where, text = predicate(f)
     now = now if now is not None else F.unix_timestamp()
     if f.search is None:
+        docs = docs.docs if isinstance(docs, Index) else docs
         out = docs.where(where).withColumn("score", F.col("created_at").cast("double"))
         # rank ids first, fetch the stored text of the page only
         return out.select(*HIT).orderBy(F.desc("created_at"), "event_id").limit(f.limit)
-    out = bm25(docs, text, scope, where).withColumn("score", composite(F.col("bm25"), F.col("wot_tier"), F.col("created_at"), now))
+    out = indexed(docs, text, scope, where) if isinstance(docs, Index) else bm25(docs, text, scope, where)
+    out = out.withColumn("score", composite(F.col("bm25"), F.col("wot_tier"), F.col("created_at"), now))
     return out.select(*HIT).orderBy(F.desc("score"), "event_id").limit(f.limit)
 
 
@@ -77,6 +151,10 @@ def search_postings(post: DataFrame, lengths: DataFrame, terms: list[str], id_co
     with the lengths of the documents that have them."""
     total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     own = post.where(F.col("term").isin(*terms))
+    if "bucket" in post.columns:  # as stored: partitioned by it
+        own = own.where(F.col("bucket").isin(*[bucket(F.lit(t)) for t in terms]))
+    if "length" in own.columns:
+        own = own.drop("length")
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     x = own.join(F.broadcast(df), "term").join(lengths, id_col).crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

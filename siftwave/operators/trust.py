@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwave.model import DAMPING, ITERATIONS
+from siftwave.storage import shared_dir
 
 
 def latest_lists(lists: DataFrame, author: str = "author", at: str = "created_at", tie: str = "tie") -> DataFrame:
@@ -55,9 +54,7 @@ def pagerank(graph: DataFrame, damping: float = DAMPING, iterations: int = ITERA
     kind = dict(graph.dtypes)["src"]
     if graph.limit(small_edges + 1).count() <= small_edges:
         return graph.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda pdf: _ranks(pdf, damping, iterations), f"node {kind}, rank double")
-    spark = graph.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="siftwave-"))
+    shared_dir(graph.sparkSession)
     links = graph.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).withColumn("out", F.sum("m").over(Window.partitionBy("src")))
     links = links.select("src", "dst", (F.col("m") / F.col("out")).alias("share")).checkpoint()
     nodes = graph.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
