@@ -6,35 +6,20 @@ handful of NumPy passes and never a Python call per word.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_U = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``,
-    or a local one made where the session names none."""
-    ctx = spark.sparkContext
-    set_ = ctx._jsc.sc().getCheckpointDir()
-    if not set_.isEmpty():
-        return spark.conf.get("spark.checkpoint.dir", "") or set_.get()
-    where = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="siftwave-")
-    ctx.setCheckpointDir(where)
-    return where
+from siftwave.storage import discard, materialise, shared_dir, stored
 
+__all__ = ["discard", "materialise", "shared_dir", "stored"]
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+_U = np.uint64
 
 
 def reachable(spark: SparkSession) -> None:
@@ -186,10 +171,12 @@ def clean_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def some(docs: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+def some(docs: DataFrame, wanted: DataFrame, most: int, size: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that ``wanted`` has the id of, with its columns; ``wanted``,
-    one row an id, is broadcast up to ``most`` rows (counted), else both are shuffled."""
-    return docs.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "id")
+    one row an id, is broadcast up to ``most`` values (counted; ``size`` has those of a
+    row, else it's one), else both are shuffled."""
+    values = wanted.agg(F.sum(size if size is not None else F.lit(1))).first()[0] or 0
+    return docs.join(F.broadcast(wanted) if values <= most else wanted, "id")
 
 
 def drop_ids(docs: DataFrame, id_col: str, gone: DataFrame, most: int = 2_000_000) -> DataFrame:
@@ -238,3 +225,12 @@ def heads(*cols: np.ndarray) -> np.ndarray:
 def pack_lists(values: np.ndarray, off: np.ndarray) -> pa.Array:
     """Slices of ``values`` as binary."""
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def lowest(df: DataFrame, by: str, hash_col: str, most: int) -> DataFrame:
+    """Of every value of ``by`` the ``most`` rows of lowest ``hash_col``, rows that
+    agree in it counted once.  Every task sends ``most`` hashes of a value at most
+    (Spark limits a rank within its window before it shuffles)."""
+    rank = F.dense_rank().over(Window.partitionBy(by).orderBy(hash_col))
+    last = df.select(by, hash_col).withColumn("__rank", rank).where(F.col("__rank") <= most).groupBy(by).agg(F.max(hash_col).alias("__last"))
+    return df.join(F.broadcast(last), by).where(F.col(hash_col) <= F.col("__last")).drop("__last").dropDuplicates([by, hash_col])
