@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.llm.common import cuts, per_batch, raw_bytes
+from siftwave.llm.common import cuts, lowest, per_batch, raw_bytes
 
 #: letters keep their (lower-case) byte, every other byte is a blank
 _LETTER = np.full(256, 32, np.uint8)
@@ -127,18 +127,13 @@ def fit(
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     df, total = document_frequencies(texts.select("text"), dims)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    labelled = texts.where("lang is not null and length(trim(text)) > 0")
-    count = {r[0]: r[1] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string")).count().collect()}
-    # a hash of the text picks about twice the rows wanted, in one pass
-    span = 1 << 40
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(span * min(1.0, 2 * sample_per_lang / n + 1e-3)))) for k, n in count.items()], F.lit(0))
-    rows = labelled.where(F.pmod(F.xxhash64("text"), F.lit(span)) < share).toArrow().combine_chunks() if count else None
+    # of each language the rows of lowest hash; texts that are the same count once
+    labelled = texts.where("lang is not null and length(trim(text)) > 0").withColumn("h", F.xxhash64("text"))
+    rows = lowest(labelled, "lang", "h", sample_per_lang).select("text", "lang").toArrow().combine_chunks()
     langs, parts, owner, held = [], [], [], []
-    for lang in sorted(count):
+    for lang in sorted(set(rows.column("lang").to_pylist())):
         col = rows.column("text").filter(pc.equal(rows.column("lang"), lang)).combine_chunks()
-        col = col.take(pc.sort_indices(col))[:: max(1, len(col) // sample_per_lang)][:sample_per_lang]
-        if not len(col):
-            continue
+        col = col.take(pc.sort_indices(col))
         v = np.concatenate([_vectors(gram_counts(col.slice(a, b - a), dims), idf) for a, b in _blocks(col)])
         centre = _kmeans(v, clusters)
         owner += [len(langs)] * len(centre)
