@@ -4,11 +4,13 @@ An item of n normalised characters may occur with up to e = floor(n *
 max_error_rate) edits.  Cut into e + 1 pieces, at least one piece must occur
 unchanged, so an Aho-Corasick pass over each whole text finds every candidate;
 Myers' bit-parallel distance then settles it exactly.  No candidate is capped.
+Items shorter than ``min_chars`` (normalised) match as whole words and without
+an edit, as with edits, or within a word, they'd match prose by chance.
 
 Texts are compared lower-cased, with each run of other than letters and digits
-as one blank.  Defined results: null and empty texts and items match nothing;
-items shorter than ``min_chars`` (normalised) are left out, as they'd match
-prose by chance; repeated documents are reported as often as they occur;
+as one blank.  Defined results: null and empty texts and items, and those without
+a letter or digit, match nothing; repeated documents are reported as often as they
+occur, repeated items once;
 a pair is reported once per document row, at its least distance, the first
 such place; an empty benchmark or table gives no rows; rows with a null id
 take part and keep the null.
@@ -90,10 +92,11 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int]:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = 0):
         import ahocorasick
 
-        self.items, self.budget = items, [int(len(t) * rate) for _, t in items]
+        self.items, self.budget = items, [int(len(t) * rate) if len(t) >= min_chars else 0 for _, t in items]
+        self.short = [len(t) < min_chars for _, t in items]
         by: dict[str, list[tuple[int, int]]] = {}
         for i, (_, t) in enumerate(items):
             for at, piece in pieces(t, self.budget[i]):
@@ -113,6 +116,8 @@ class Index:
         diagonals: dict[tuple[int, int], list[int]] = {}
         for last, (size, where) in self.auto.iter(text):
             for i, offset in where:
+                if self.short[i] and (last >= size and text[last - size] not in " \n" or text[last + 1] not in " \n"):
+                    continue
                 diagonals.setdefault((last - size + 1, i), []).append(offset)
         if not diagonals:
             return []
@@ -151,11 +156,11 @@ class Index:
         return found
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         body, at = normalise(batch.column(1))
         text = [body[a : b - 1].decode("latin-1") for a, b in zip(at[:-1], at[1:])]
-        keep = [i for i, t in enumerate(text) if len(t) >= min_chars]
+        keep = [i for i, t in enumerate(text) if t]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([text[i] for i in keep], pa.string())], ["item_id", "text"]) if keep else None
 
     slim = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text"))
@@ -174,15 +179,15 @@ def matches(
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for own in _shards(benchmark, item_id, item_text, min_chars, shard_bytes):
-        part = _search(slim, own, max_error_rate)
+    for own in _shards(benchmark, item_id, item_text, shard_bytes):
+        part = _search(slim, own, max_error_rate, min_chars)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int, shard_bytes: int):
+def _shards(benchmark: DataFrame, id_col: str, text_col: str, shard_bytes: int):
     """The items, shard by shard, those with a null id last."""
-    items = _items(benchmark, id_col, text_col, min_chars)
+    items = _items(benchmark, id_col, text_col)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     for s in range(shards):
@@ -190,13 +195,13 @@ def _shards(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int, sh
         yield sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def _search(slim: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
+def _search(slim: DataFrame, items: list[tuple[int, str]], rate: float, min_chars: int) -> DataFrame:
     shared = slim.sparkSession.sparkContext.broadcast(items)
     built: list[Index] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if not built:
-            built.append(Index(shared.value, rate))
+            built.append(Index(shared.value, rate, min_chars))
         hits = built[0].find(batch.column(1))
         if not hits:
             return None
@@ -214,17 +219,17 @@ def drop_contaminated(
     """``docs`` without the rows that hold a benchmark item, whatever their id."""
     names, at = docs.columns, docs.columns.index(text_col)
     out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    for own in _shards(benchmark, item_id, item_text, min_chars, shard_bytes):
-        out = out.mapInArrow(per_batch(_clean(out.sparkSession.sparkContext.broadcast(own), at, max_error_rate), text=at), out.schema)
+    for own in _shards(benchmark, item_id, item_text, shard_bytes):
+        out = out.mapInArrow(per_batch(_clean(out.sparkSession.sparkContext.broadcast(own), at, max_error_rate, min_chars), text=at), out.schema)
     return out.toDF(*names)
 
 
-def _clean(shared, at: int, rate: float):
+def _clean(shared, at: int, rate: float, min_chars: int):
     built: list[Index] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not built:
-            built.append(Index(shared.value, rate))
+            built.append(Index(shared.value, rate, min_chars))
         keep = np.ones(batch.num_rows, bool)
         keep[[h[0] for h in built[0].find(batch.column(at))]] = False
         return batch.filter(pa.array(keep))
