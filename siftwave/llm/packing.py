@@ -6,18 +6,18 @@ Remainders are hashed over partitions and packed by best-fit decreasing; dual
 feasible functions give each partition a lower bound on its bins.  A partition
 whose bins equal its bound is certified and left.  Those with a gap keep their
 full bins and exchange the documents of all others: these are hashed anew over
-fewer partitions and packed again, until nothing is gained or ``max_rounds``
-have run.  The exchange is taken only where it needs fewer bins than before.
+fewer partitions and packed again, until nothing is gained.  The exchange is taken only where it needs fewer bins than before.
 
 Defined results: a null or empty text has size 1 (its end mark); a null id is
 packed and keeps the null; repeated rows are packed as often as they occur;
-equal sizes go by id, then chunk; an empty table gives no rows.
+equal sizes go by id, then chunk, then row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftwave.llm.common import materialise
 
-SCHEMA = "doc_id bigint, chunk int, size int, part bigint, bin bigint, free int, bins bigint, lower_bound bigint"
+SCHEMA = "doc_id bigint, row bigint, chunk int, size int, part bigint, bin bigint, free int, bins bigint, lower_bound bigint"
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -78,18 +78,18 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 
 def _pack(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "chunk"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "doc_id", "chunk", "row"], ascending=[False, True, True, True], kind="stable")
         sizes = pdf["size"].to_numpy()
         b = best_fit_decreasing(sizes, capacity)
         used = np.bincount(b, weights=sizes).astype(np.int64)
-        return pdf[["doc_id", "chunk", "size", "part"]].assign(bin=b, free=(capacity - used)[b], bins=len(used), lower_bound=lower_bound(sizes, capacity))
+        return pdf[["doc_id", "row", "chunk", "size", "part"]].assign(bin=b, free=(capacity - used)[b], bins=len(used), lower_bound=lower_bound(sizes, capacity))
 
     return run
 
 
 def pack(
     docs: DataFrame, capacity: int = 8192, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None,
-    part_tokens: int = 16_000_000, max_rounds: int = 3,
+    part_tokens: int = 16_000_000,
 ) -> DataFrame:
     """One row per piece: (doc_id, chunk, start, size, bin_id, round, part,
     bins, lower_bound); the last two certify the piece's partition.
@@ -103,19 +103,19 @@ def pack(
     c = F.lit(capacity)
     full = sized.where(F.col("n") >= capacity).select("doc_id", "row", F.posexplode(F.array_repeat(c, (F.col("n") / c).cast("int"))).alias("chunk", "size"))
     full = full.select(
-        "doc_id", F.col("chunk").cast("int").alias("chunk"), F.col("size").cast("int").alias("size"), F.lit(-1).cast("bigint").alias("part"), F.xxhash64("doc_id", "chunk", "row").alias("bin"),
+        "doc_id", "row", F.col("chunk").cast("int").alias("chunk"), F.col("size").cast("int").alias("size"), F.lit(-1).cast("bigint").alias("part"), F.xxhash64("doc_id", "chunk", "row").alias("bin"),
         F.lit(0).alias("free"), F.lit(1).cast("bigint").alias("bins"), F.lit(1).cast("bigint").alias("lower_bound"), F.lit(0).alias("round"),
     )
-    rest = sized.where(F.col("n") % c > 0).select("doc_id", (F.col("n") / c).cast("int").alias("chunk"), (F.col("n") % c).cast("int").alias("size"))
+    rest = sized.where(F.col("n") % c > 0).select("doc_id", "row", (F.col("n") / c).cast("int").alias("chunk"), (F.col("n") % c).cast("int").alias("size"))
 
     def spread(df: DataFrame, tokens: int, salt: int) -> DataFrame:
         parts = max(1, math.ceil(tokens / part_tokens))
-        return df.select("doc_id", "chunk", "size", F.pmod(F.xxhash64("doc_id", "chunk", "size", F.lit(salt)), F.lit(parts)).cast("bigint").alias("part"))
+        return df.select("doc_id", "row", "chunk", "size", F.pmod(F.xxhash64("row", "chunk", F.lit(salt)), F.lit(parts)).cast("bigint").alias("part"))
 
     settled, moving, before = full, rest, None
     tokens = rest.agg(F.sum("size")).first()[0] or 0
     kept = None  # the packing that ``moving`` has now
-    for k in range(max_rounds):
+    for k in count():
         packed = spread(moving, tokens >> k, k).groupBy("part").applyInPandas(_pack(capacity), SCHEMA).withColumn("round", F.lit(k))
         packed = materialise(packed)
         # bins of this round's documents: one (part, bins) row for each partition
@@ -126,7 +126,7 @@ def pack(
         if kept is not None:
             settled = settled.unionByName(kept.where(~gap))
         kept = packed
-        moving = packed.where(gap).select("doc_id", "chunk", "size")
+        moving = packed.where(gap).select("doc_id", "row", "chunk", "size")
         stats = packed.where(gap).agg(F.sum("size"), F.countDistinct("part", "bin")).first()
         tokens, before = (stats[0] or 0) << (k + 1), stats[1]
         if not before or tokens >> (k + 1) == 0:
