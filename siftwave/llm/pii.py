@@ -1,7 +1,8 @@
 """PII (7): candidate spans judged by gradient-boosted trees.
 
-High-recall generators (byte regular expressions, run only around digits, '@',
-'=', '_' and ':') propose overlapping spans.  Boosted trees score each from its format
+High-recall generators (byte regular expressions, run around digits, '@', '=', '_'
+and ':' and on long unbroken strings; what they look at ends between words, however
+long these are) propose overlapping spans.  Boosted trees score each from its format
 (lengths, checksums, octets, entropy, separators) and its context (keywords,
 neighbouring characters).  A threshold calibrated per kind on held-out spans
 selects; of overlapping spans the best-scored stays, then the longer, then the
@@ -43,6 +44,7 @@ _GENERATORS: list[tuple[str, bytes]] = [
     # the value up to white space, without the marks at its end, and up to its first mark
     *[("SECRET", rb"(?i:token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|auth)\s*[=:]\s*[\"']?" + value) for value in (rb"([^\s\"']{6,})", rb"([^\s\"']{5,}[^\s\"'#$%&*,;.!?])(?=[#$%&*,;.!?]*(?:[\s\"']|$))", rb"([^\s\"'#$%&*,;]{6,})")],
     ("SECRET", rb"(?<![0-9A-Za-z])[0-9a-f]{20,64}(?![0-9A-Za-z])"),
+    ("SECRET", rb"(?<![\w.\-])eyJ[\w\-]{5,}\.[\w\-]{5,}(?:\.[\w\-]*)?"),
     ("SECRET", rb"(?<!\w)(?:AKIA[0-9A-Z]{12,}|gh[pousr]_\w{20,}|sk-[\w\-]{16,}|xox[abp]-[\w\-]{10,}|[A-Za-z0-9+/_\-]{32,}={0,2})(?!\w)"),
 ]
 KINDS = list(dict.fromkeys(k for k, _ in _GENERATORS))
@@ -55,6 +57,10 @@ _REACH = 96
 _ANCHOR = np.zeros(256, bool)
 _ANCHOR[48:58] = True
 _ANCHOR[[ord("@"), ord("="), ord("_"), ord(":")]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: a word of so many bytes may be a secret without any anchor
+_LONG = 32
 _KEYWORD = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|auth)\s*[=:]\s*[\"']?$", re.I)
 #: features that only values after a keyword are judged by, the last tells those
 _SPELT = 7
@@ -105,11 +111,18 @@ def features(body: bytes, a: int, b: int, kind: int) -> list[float]:
 
 def candidates(data: np.ndarray, off: np.ndarray, generators: list | None = None) -> list[tuple[int, int, int, int]]:
     """(row, start, end, kind) in bytes of the row; overlaps and all."""
-    at = np.flatnonzero(_ANCHOR[data])
+    blank = _BLANK[data]
+    # where words end: blanks, and the ends of rows
+    gap = np.unique(np.concatenate([np.flatnonzero(blank), off - 1, off[-1:]]))
+    long = gap[:-1][np.diff(gap) > _LONG] + 1
+    at = np.union1d(np.flatnonzero(_ANCHOR[data]), long)
     if not len(at):
         return []
     row = np.searchsorted(off, at, side="right") - 1
     lo, hi = np.maximum(at - _REACH, off[row]), np.minimum(at + _REACH, off[row + 1])
+    # no word is cut
+    lo = np.maximum(gap[np.searchsorted(gap, lo, side="right") - 1] + 1, off[row])
+    hi = np.minimum(gap[np.minimum(np.searchsorted(gap, hi), len(gap) - 1)], off[row + 1])
     new = np.concatenate([[True], (lo[1:] > hi[:-1]) | (row[1:] != row[:-1])])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(at)) - 1
@@ -221,6 +234,10 @@ def _hex(r, n):
     return "".join(r.choice(list("0123456789abcdef"), n))
 
 
+def _code(r, n):
+    return "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"), n))
+
+
 def _iban(r, ok=True):
     body = _digits(r, int(r.integers(14, 22)))
     cc = str(r.choice(["DE", "FR", "ES", "GB", "IT", "NL"]))
@@ -262,7 +279,7 @@ def _span(r, k: int) -> tuple[str, str, str]:
         q = str(r.choice(['"', "'", ""]))
         return f" {r.choice(['token', 'secret', 'api_key', 'password', 'API_KEY', 'access_key'])}{r.choice([' = ', '=', ': '])}{q}", str(r.choice([_hex(r, int(r.choice([16, 24, 32, 40, 64]))), _word(r) + _digits(r, 4) + "!", "sk-" + _hex(r, 32)])), q
     if k == 7:
-        return str(r.choice(["", " key ", ' "'])), str(r.choice([_hex(r, 40), "AKIA" + _hex(r, 16).upper(), "ghp_" + _hex(r, 36), _hex(r, 32)])), ""
+        return str(r.choice(["", " key ", ' "'])), str(r.choice([_hex(r, 40), "AKIA" + _hex(r, 16).upper(), "ghp_" + _hex(r, 36), _hex(r, 32), ".".join("eyJ"[: 3 * (k < 2)] + _code(r, int(r.integers(12, 60))) for k in range(3))])), ""
     if k == 9:  # marks in the value
         mark = lambda: str(r.choice(list("#$%&*,;@!")))
         q = str(r.choice(['"', "'", "", "", ""]))
