@@ -260,13 +260,17 @@ class File:
         return out.tobytes()
 
 
-def walk(data: bytes, max_bytes: int = 1 << 30):
+#: the longest binary value that a row can hold
+MOST = 2**31 - 1024
+
+
+def walk(data: bytes, max_bytes: int = MOST):
     """A dict per page, or one with page None for a file that isn't a TIFF."""
     empty = dict.fromkeys(_SHAPE.names)
     try:
         file = File(data)
-    except Bad as e:
-        yield empty | {"error": str(e)}
+    except Exception as e:  # noqa: BLE001
+        yield empty | {"error": str(e) or type(e).__name__}
         return
     at, seen, n = file.first, set(), 0
     while at:
@@ -277,8 +281,8 @@ def walk(data: bytes, max_bytes: int = 1 << 30):
         seen.add(at)
         try:
             fields, at = file.directory(at)
-        except Bad as e:
-            yield page | {"error": str(e)}
+        except Exception as e:  # noqa: BLE001 - bytes of any kind: whatever they upset is an error of the file
+            yield page | {"error": str(e) or type(e).__name__}
             return
         one = lambda tag, default, f=fields: (f.get(tag) or [default])[0]
         page |= {
@@ -287,16 +291,19 @@ def walk(data: bytes, max_bytes: int = 1 << 30):
         }
         try:
             page["pixels"] = file.pixels(fields, page, max_bytes)
-        except (Bad, ValueError) as e:
-            page["error"] = str(e)
-        for k in ("width", "height"):
-            page[k] = min(page[k], 2**31 - 1)
+        except Exception as e:  # noqa: BLE001
+            page["error"] = str(e) or type(e).__name__
+        # what a column can't hold is null, and an error
+        for k in ("width", "height", "samples", "bits", "sample_format", "photometric", "compression", "predictor"):
+            if not -(2**31) <= page[k] < 2**31:
+                page |= {k: None, "pixels": None, "error": f"{k} of {page[k]} is out of range"}
         yield page
         n += 1
 
 
-def pages(files: DataFrame, id_col: str = "id", bytes_col: str = "tiff", max_page_bytes: int = 1 << 30) -> DataFrame:
-    """One row per page of the TIFF files in ``bytes_col``."""
+def pages(files: DataFrame, id_col: str = "id", bytes_col: str = "tiff", max_page_bytes: int = MOST) -> DataFrame:
+    """One row per page of the TIFF files in ``bytes_col``; a page of more bytes than a
+    value can have is reported with an error."""
 
     def run(batches):
         for batch in batches:
