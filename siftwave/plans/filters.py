@@ -272,7 +272,7 @@ def matches(node) -> Column:
     out = F.lit(False)
     for f in fields:
         if node.prefix and len(node.tokens) == 1:
-            out = out | F.coalesce(F.exists(F.col(f), lambda t, n=node: t.startswith(n.tokens[0])), F.lit(False))
+            out = out | F.coalesce(F.exists(F.col(f), lambda t: t.startswith(node.tokens[0])), F.lit(False))
         else:
             out = out | has_phrase(F.col(f), list(node.tokens))
     return out

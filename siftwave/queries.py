@@ -18,7 +18,7 @@ from siftwave.functions.text import tokens
 from siftwave.operators import documents, index, reports, scrape, search, trust
 from siftwave.plans.filters import SearchFilter
 from siftwave.sources import archive
-from siftwave.streaming import live
+from siftwave.streaming import live, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -293,11 +293,12 @@ def _matching(docs, f):
     return docs.where(where if tree is None else where & matches(tree))
 
 
-@query(f"SELECT page_id FROM pages WHERE {_HOST_SQL} = 'tionsh.example.net'")
+@query(f"SELECT page_id FROM pages WHERE {_HOST_SQL} = (SELECT {_HOST_SQL} AS h FROM pages GROUP BY h ORDER BY count(*) DESC, h LIMIT 1)")
 def search_site(spark, sf):
     links = X.links(spark, sf)
     d = links.select("page_id", N.month_shard(F.col("created_at")).alias("shard_ym"), "created_at", F.filter(F.transform(N.tag_values(F.col("tags"), "r"), N.url_host), lambda h: h.isNotNull()).alias("tag_host"))
-    return _matching(d, SearchFilter(search="site:https://www.tionsh.example.net/x until:2100-01-01")).select("page_id")
+    busiest = d.groupBy(F.get("tag_host", F.lit(0)).alias("h")).count().orderBy(F.desc("count"), "h").first()[0]
+    return _matching(d, SearchFilter(search=f"site:https://www.{busiest.upper()}/x until:2100-01-01")).select("page_id")
 
 
 @query(f"{X.DOCS_SQL} SELECT count(*) AS docs FROM doc WHERE created_at >= 1705000000 AND created_at < 1707000000")
@@ -655,12 +656,14 @@ def top_shards(spark, sf):
     return reports.top_shards(month_shards(spark, sf), 2)
 
 
-@query(f"{X.EVENTS_SQL} SELECT count(*) AS reports, sum(n)::BIGINT AS events FROM (SELECT kind, count(*) AS n FROM ev GROUP BY ALL)")
+@query(f"{X.EVENTS_SQL} SELECT kind, count(*) AS n FROM ev GROUP BY ALL")
 def merge_reports(spark, sf):
-    """Two halves of a report merged as a stream would."""
-    e = _events(spark, sf)
-    part = [e.where(F.col("created_at") % 2 == k).groupBy("kind").agg(F.count(F.lit(1)).alias("n")) for k in (0, 1)]
-    return part[0].unionByName(part[1]).groupBy("kind").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("reports"), F.sum("n").alias("events"))
+    """Two halves of a report, merged as a stream's micro-batches are."""
+    e, where = _events(spark, sf), storage.new_path(spark)
+    fold = live.merge_into(where, lambda df: df.groupBy("kind").agg(F.sum("n").alias("n")))
+    for k in (0, 1):
+        fold(e.where(F.col("created_at") % 2 == k).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), k)
+    return live.latest(spark, where)
 
 
 @query()
@@ -674,3 +677,191 @@ def document_table(spark, sf):
 @query()
 def report_stages(spark, sf):
     return spark.createDataFrame([(i, n) for i, names in enumerate(live.stages()) for n in names], "stage int, report string")
+
+
+# ------------------------------------------------------------- reports kept by batch
+
+
+def _daily(name="daily", depends=(), kinds=None):
+    partial = lambda e: e.groupBy(N.day(F.col("created_at")).alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    return state.Report(name, ("day", "kind"), partial, lambda r: r.groupBy("day", "kind").agg(F.sum("n").alias("n")), depends, kinds)
+
+
+_DAY = "created_at - created_at % 86400"
+
+
+@query(f"{X.EVENTS_SQL}, dirty AS (SELECT DISTINCT {_DAY} AS day, kind FROM ev WHERE event_id % 100 = 7) SELECT {_DAY} AS day, kind, count(*) AS n FROM ev WHERE ({_DAY}, kind) IN (SELECT (day, kind) FROM dirty) GROUP BY ALL")
+def report_deltas(spark, sf):
+    """What a second batch changes of a report: the rows of the keys it touches."""
+    e = _events(spark, sf)
+    last = F.conv(F.col("id"), 16, 10).cast("bigint") % 100 == 7
+    kept = state.State(spark, storage.new_path(spark), [_daily()])
+    kept.fold("daily", e.where(~last), 0, NOW)
+    kept.fold("daily", e.where(last), 1, NOW)
+    return kept.delta("daily", 1)
+
+
+@query(f"{X.EVENTS_SQL} SELECT 'all' AS name, count(*) AS observed, count(*) AS consumed, max(created_at) AS watermark FROM ev UNION ALL SELECT 'zaps', count(*), count(*) FILTER (kind = 9735), max(created_at) FROM ev")
+def backfill_counters(spark, sf):
+    """Reports in stages over all of the past, and what each took of it."""
+    kept = state.State(spark, storage.new_path(spark), [_daily("zaps", ("all",), (9735,)), _daily("all")])
+    kept.backfill(_events(spark, sf), now=NOW)
+    return kept.health().select("name", "observed", "consumed", "watermark")
+
+
+@query(f"{X.EVENTS_SQL}, m AS (SELECT max(created_at) AS top FROM ev WHERE event_id % 2 = 0) SELECT count(*) AS observed, count(*) FILTER (event_id % 2 = 0 OR created_at >= top - 21600) AS consumed, count(*) FILTER (event_id % 2 = 1 AND created_at < top - 21600) AS filtered FROM ev, m")
+def late_gate(spark, sf):
+    """Half of the events as backfill, half live: what is over six hours late is left out."""
+    e = _events(spark, sf)
+    odd = F.conv(F.col("id"), 16, 10).cast("bigint") % 2 == 1
+    kept = state.State(spark, storage.new_path(spark), [_daily()])
+    kept.backfill(e.where(~odd), now=NOW)
+    kept.fold("daily", e.where(odd), 0, NOW)
+    return kept.health().select("observed", "consumed", "filtered")
+
+
+# ---------------------------------------------------------------- more of the same
+
+
+@query(
+    """SELECT lpad(lower(to_hex(c_custkey)), 64, '0') AS pubkey, trim(c_name) AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN c_name END AS display_name,
+              CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey END AS about FROM customer"""
+)
+def profile_fields(spark, sf):
+    """Customers as profile events: trimmed fields, one name standing in for another."""
+    c = X.table(spark, sf, "customer")
+    k = F.col("c_custkey") % 3
+    body = F.to_json(
+        F.struct(
+            F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")).alias("name"), F.when(k == 0, F.col("c_mktsegment")).when(k == 2, F.lit(" ")).alias("display_name"), F.when(k < 2, F.col("c_name")).alias("displayName"),
+            F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).otherwise(F.lit("")).alias("about"),
+        )
+    )
+    e = c.select(X.key(F.col("c_custkey")).alias("pubkey"), F.lit(0).cast("bigint").alias("created_at"), body.alias("content"))
+    return documents.profile_fields(e).select("pubkey", "name", "display_name", "about")
+
+
+@query(_rank_sql() + " SELECT node, round(rank * 1000, 6) AS rank FROM r20")
+def pagerank_joins(spark, sf):
+    """The ranks by joins, as a graph too large for one task has them."""
+    return trust.pagerank(_rank_graph(spark, sf), small_edges=0).select("node", _r(F.col("rank") * 1000).alias("rank"))
+
+
+@query(_rank_sql() + ", t AS (SELECT node, round(rank, 12) AS rank FROM r20) SELECT count(*) AS nodes, round(sum(rank) * 1000, 4) AS rank FROM (SELECT rank FROM t ORDER BY rank DESC LIMIT 1000)")
+def top_ranks(spark, sf):
+    return trust.top(trust.pagerank(_rank_graph(spark, sf)), 1000).agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("rank") * 1000, 4).alias("rank"))
+
+
+@query(f"{_REG_SQL} SELECT url, CASE WHEN nip11 IS DISTINCT FROM false THEN 0 ELSE i % 4 END AS fails, CASE WHEN nip11 IS NOT DISTINCT FROM false AND i % 7 = 0 THEN {NOW} + 1 END AS dead_until FROM info")
+def relay_release(spark, sf):
+    return scrape.release(_registry(spark, sf)).select("url", F.col("fails").cast("bigint").alias("fails"), F.col("dead_until").cast("bigint").alias("dead_until"))
+
+
+@query(f"{_REG_SQL} SELECT url, sources, CAST(NULL AS BIGINT) AS last_ok FROM info")
+def relay_reset(spark, sf):
+    return scrape.reset_relays(_registry(spark, sf)).select("url", "sources", "last_ok")
+
+
+@query(
+    f"""{_REG_SQL} SELECT url, CASE i % 3 WHEN 0 THEN 0 WHEN 1 THEN i % 4 + 2 ELSE i % 4 END AS fails, CASE i % 3 WHEN 0 THEN greatest({NOW}, CASE WHEN i % 2 = 0 THEN {NOW} - 5000 ELSE 0 END) ELSE CASE WHEN i % 2 = 0 THEN {NOW} - 5000 END END AS last_ok,
+        CASE i % 3 WHEN 1 THEN {NOW} + 60 ELSE {NOW} - 1000 END AS last_fail FROM info"""
+)
+def relay_outcomes(spark, sf):
+    """A third of the relays answers, a third fails twice, a third isn't asked."""
+    reg = _registry(spark, sf)
+    ok = reg.where("i % 3 = 0").select("url", F.lit(NOW).alias("at"), F.lit(True).alias("ok"))
+    bad = reg.where("i % 3 = 1").select("url", F.explode(F.array(F.lit(NOW), F.lit(NOW + 60))).alias("at"), F.lit(False).alias("ok"))
+    out = scrape.outcomes(reg, ok.unionByName(bad))
+    return out.select("url", F.col("fails").cast("bigint").alias("fails"), F.col("last_ok").cast("bigint").alias("last_ok"), F.col("last_fail").cast("bigint").alias("last_fail"))
+
+
+@query(
+    f"""{X.EVENTS_SQL}, w AS (SELECT {_DAY} AS since, count(*) AS n FROM ev GROUP BY ALL), h AS (SELECT unnest([0, 1]) AS h)
+       SELECT since + h * 43200 AS since, since + h * 43200 + 43200 AS until FROM w, h WHERE n >= 500 UNION ALL SELECT since, since + 86400 FROM w WHERE n < 500"""
+)
+def bisected_days(spark, sf):
+    """Days with more events than a relay gives at once, cut in two."""
+    days = _events(spark, sf).groupBy(N.day(F.col("created_at")).alias("since")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a day
+    return spark.createDataFrame(scrape.bisect([(r["since"], r["since"] + 86_400, r["n"]) for r in days], 500), "since bigint, until bigint")
+
+
+@query("SELECT k, CAST(2 + floor(78 * least(k / 1000.0, 1.0) + 0.5) AS INT) AS percent FROM (SELECT DISTINCT o_custkey AS k FROM orders)")
+def adaptive_percent(spark, sf):
+    k = X.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct().collect()
+    return spark.createDataFrame([(r["k"], scrape.adaptive_percentile(r["k"], 1000)) for r in k], "k bigint, percent int")
+
+
+@query("SELECT k, greatest(1704067200 - (k + 1) * 2592000, 1640995200)::BIGINT AS since, (1704067200 - k * 2592000)::BIGINT AS until FROM (SELECT DISTINCT n_nationkey AS k FROM nation)")
+def block_windows(spark, sf):
+    k = X.table(spark, sf, "nation").select("n_nationkey").distinct().collect()
+    return spark.createDataFrame([(r[0], *scrape.block_window(r[0], 1704067200 + 100)) for r in k], "k int, since bigint, until bigint")
+
+
+@query("SELECT event_id, event_id * 7 % 65536 IN (0, 1, 20, 21, 22, 1063, 1111, 1222, 1244, 1617, 1621, 1622, 9802, 30017, 30018, 30023, 30024, 30311, 30402, 31922, 31923, 34550) AS text FROM events")
+def text_kinds(spark, sf):
+    return X.table(spark, sf, "events").select("event_id", N.is_text_kind((F.col("event_id") * 7 % 65536).cast("int")).alias("text"))
+
+
+def _event_documents(spark, sf):
+    """Events with a place each, as documents."""
+    e = _events(spark, sf)
+    n = F.conv(F.col("id"), 16, 10).cast("bigint")
+    cell = F.array(F.lit("g"), F.concat(F.lit("u4pruy"), F.lpad((n % 50).cast("string"), 2, "0")))
+    return documents.build(e.withColumn("tags", F.concat("tags", F.array(cell))), detect=False)
+
+
+def _event_sql(cond: str) -> str:
+    return f"{X.EVENTS_SQL} SELECT lpad(lower(to_hex(event_id)), 64, '0') AS event_id FROM ev WHERE {cond}"
+
+
+@query(_event_sql("event_id % 50 BETWEEN 10 AND 19"))
+def search_geo(spark, sf):
+    """Everything in a cell, however fine it was given."""
+    return _matching(_event_documents(spark, sf), SearchFilter(search="geo:U4PRUY1 until:2100-01-01")).select("event_id")
+
+
+@query(_event_sql("kind = 1 AND k % 20 = 3"))
+def search_hashtag(spark, sf):
+    return _matching(_event_documents(spark, sf), SearchFilter(search="#TAG3 until:2100-01-01")).select("event_id")
+
+
+@query(_event_sql("user_id = 10 AND kind IN (1, 7)"))
+def search_author(spark, sf):
+    """Authors by key in any case; what can't be read as one names nobody."""
+    f = SearchFilter(authors=[f"{10:064X}", "npub1nobody"], kinds=[1, 7], until=1 << 40)
+    return _matching(_event_documents(spark, sf), f).select("event_id")
+
+
+@query(_event_sql("kind = 1 AND k % 20 = 10 AND created_at >= 1704412800 AND created_at < 1705708800"))
+def search_lists(spark, sf):
+    """Structured lists beside the operators of the text: all must hold."""
+    f = SearchFilter(search="kind:1 since:2024-01-05 until:2024-01-20", kinds=[1, 1984], tags={"t": ["Tag10", "none"]}, until=1 << 40)
+    return _matching(_event_documents(spark, sf), f).select("event_id")
+
+
+@query(_having("regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])of[^\\p{L}\\p{N}]+the([^\\p{L}\\p{N}]|$)')"))
+def search_joined(spark, sf):
+    """A word that is two tokens is a phrase."""
+    return search.indexed(_index(spark, sf), "of-the").select("doc_id")
+
+
+@query(_having(f"{_has('the')} AND EXISTS (SELECT 1 FROM post p WHERE p.doc_id = doc.doc_id AND term LIKE 'whe%')"))
+def search_prefix(spark, sf):
+    return search.indexed(_index(spark, sf), "the whe*").select("doc_id")
+
+
+@query(f"{X.EVENTS_SQL} SELECT kind, count(*) AS docs, sum(CASE WHEN kind IN (0, 1) THEN 1 ELSE 0 END)::BIGINT AS tokens FROM ev GROUP BY ALL")
+def document_tokens(spark, sf):
+    """Tokens of events as documents: one word each, of kinds that are text only."""
+    d = _event_documents(spark, sf)
+    return d.groupBy("kind").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.coalesce(F.size("content"), F.lit(0))).cast("bigint").alias("tokens"))
+
+
+@query("SELECT count(*) AS events FROM events")
+def archive_totals(spark, sf):
+    """Events written to an archive in two overlapping lots: each is there once."""
+    where = storage.new_path(spark)
+    e = _events(spark, sf).withColumn("sig", F.lit("c" * 128))
+    for k in (0, 1):
+        archive.append_new(e.where(F.conv(F.col("id"), 16, 10).cast("bigint") % 3 != k), where)
+    return archive.totals(spark.read.parquet(where))
