@@ -32,8 +32,8 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that documents share."""
-    return compact_windows.passages(table(spark, sf_dir, "documents"))
+    """Documents that share passages of 50 words or more: class, links, and where."""
+    return compact_windows.repeats(table(spark, sf_dir, "documents"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
