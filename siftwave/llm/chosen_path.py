@@ -303,4 +303,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with the lowest id of each class; rows in no class stay."""
-    return drop_ids(docs, id_col, classes(docs, id_col=id_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("id")))
+    gone = classes(docs, id_col=id_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("id"))
+    return drop_ids(docs, id_col, gone, (_OPTIONS | options)["max_broadcast"])

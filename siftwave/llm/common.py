@@ -171,19 +171,62 @@ def clean_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def some(docs: DataFrame, wanted: DataFrame, most: int, size: Column | None = None) -> DataFrame:
+def _slot(bits: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(bits))
+
+
+def _marked(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` bits, so of a fixed size, with those that ``ids`` hash to."""
+    slot = _slot(bits) + 1  # these functions count from one
+    parts = ids.groupBy(F.bitmap_bucket_number(slot).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("b")).collect()
+    out = np.zeros((-(-bits // 32768), 4096), np.uint8)
+    for r in parts:
+        out[r["n"] - 1] = np.frombuffer(r["b"], np.uint8)
+    return out.ravel()
+
+
+def _perhaps(docs: DataFrame, ids: DataFrame, bits: int, keep: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose id may be (or, without ``keep``, can't be) among
+    ``ids``, told by a broadcast bitmap; null ids can't."""
+    shared = docs.sparkSession.sparkContext.broadcast(_marked(ids, bits))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches):
+        for batch in batches:
+            slot = np.asarray(pc.fill_null(batch.column(len(names)), -1))
+            hit = (slot >= 0) & (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1)
+            out = batch.select(range(len(names))).filter(pa.array(hit == keep))
+            if out.num_rows:
+                yield out
+
+    slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.when(F.col("id").isNotNull(), _slot(bits)).alias("slot"))
+    return slim.mapInArrow(run, slim.drop("slot").schema).toDF(*docs.columns)
+
+
+def some(docs: DataFrame, wanted: DataFrame, most: int, size: Column | None = None, bits: int = 1 << 27) -> DataFrame:
     """The rows of ``docs`` that ``wanted`` has the id of, with its columns; ``wanted``,
     one row an id, is broadcast up to ``most`` values (counted; ``size`` has those of a
-    row, else it's one), else both are shuffled."""
+    row, else it's one).  Beyond, both are shuffled, but of ``docs`` only the rows that a
+    bitmap of ``bits`` bits doesn't rule out."""
     values = wanted.agg(F.sum(size if size is not None else F.lit(1))).first()[0] or 0
-    return docs.join(F.broadcast(wanted) if values <= most else wanted, "id")
-
-
-def drop_ids(docs: DataFrame, id_col: str, gone: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """``docs`` without the rows whose id is in ``gone`` (id bigint), which is
-    broadcast up to ``most`` rows (counted), else shuffled; null ids stay."""
-    gone = materialise(gone.select(F.col("id").alias("__gone")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, docs[id_col] == gone["__gone"], "left_anti")
+    if values <= most:
+        return docs.join(F.broadcast(wanted), "id")
+    return _perhaps(docs, wanted.select("id"), bits).join(wanted, "id")
+
+
+def drop_ids(docs: DataFrame, id_col: str, gone: DataFrame, most: int = 2_000_000, bits: int = 1 << 27) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (id bigint), which is broadcast
+    up to ``most`` rows (counted).  Beyond, it's shuffled, with only the rows of ``docs``
+    that a bitmap doesn't rule out.  Null ids stay."""
+    gone = stored(gone.select("id").distinct())
+    names = docs.columns
+    out = docs.select(F.col(id_col).cast("bigint").alias("id"), *[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(names)])
+    if gone.count() <= most:
+        out = out.join(F.broadcast(gone), "id", "left_anti")
+    else:
+        # each branch reads its own part of the table
+        out = _perhaps(out, gone, bits, False).unionByName(_perhaps(out, gone, bits).join(gone, "id", "left_anti"))
+    return out.drop("id").toDF(*names)
 
 
 def whole(batches: Iterator[pa.RecordBatch], keys: int, least: int = 0) -> Iterator[list[pa.Array]]:
