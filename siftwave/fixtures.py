@@ -63,7 +63,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(lists, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("author"), seconds("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("tie"), "follows")
 
 
-# ---------------------------------------------------------------- the same in SQL
+# --- the same in SQL
 
 _K = "CAST(regexp_extract(props, '\"k\":\\s*(\\d+)', 1) AS BIGINT)"
 EVENTS_SQL = f"""ev AS (

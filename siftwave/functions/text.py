@@ -88,7 +88,7 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in gone], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-# --------------------------------------------- the same on literals, in the driver
+# --- the same on literals, in the driver
 
 
 def _continuous(ch: str) -> bool:

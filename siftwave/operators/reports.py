@@ -148,7 +148,7 @@ def trending(events: DataFrame, now: Column, world: DataFrame | None = None, n:
     return e.groupBy("tag").agg(F.sum(weight).alias("score"), _count("mentions")).orderBy(F.desc("score"), "tag").limit(n)
 
 
-# ------------------------------------------------------- what the console derives
+# --- what the console derives
 
 
 def plausible(df: DataFrame, now: Column, day: str = "day") -> DataFrame:

@@ -168,7 +168,7 @@ def time_range(since: int | None, until: int | None, now: int | None = None) ->
     return out
 
 
-# ------------------------------------------------------------------- free text
+# --- free text
 
 
 @dataclass(frozen=True)

@@ -80,7 +80,7 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
-# ------------------------------------------------------------------- normalisers
+# --- normalisers
 
 _HOST_SQL = r"regexp_replace(lower(split_part(regexp_extract(split_part(url, '://', 2), '^([^/?#]*)', 1), ':', 1)), '^www\.', '')"
 
@@ -174,7 +174,7 @@ def language_detected(spark, sf):
     return d.groupBy("truth", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-# ----------------------------------------------------------------- text and search
+# --- text and search
 
 
 @query(f"{X.DOCS_SQL}, {X.TOKENS_SQL} SELECT * FROM post")
@@ -363,7 +363,7 @@ def scan_corrupt(spark, sf):
     return good.agg(F.count(F.lit(1)).alias("good")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad")))
 
 
-# ------------------------------------------------------------------------- trust
+# --- trust
 
 
 @query(f"{X.LATEST_SQL} SELECT author, o_orderkey AS list FROM latest")
@@ -425,7 +425,7 @@ def world(spark, sf):
     return trust.world(_rank_graph(spark, sf), "pagerank").select("pubkey", "followers", "wot_tier")
 
 
-# ----------------------------------------------------------------------- reports
+# --- reports
 
 _TRUST_SQL = f"{X.EVENTS_SQL}, {X.LATEST_SQL}, t AS (SELECT ev.*, coalesce(tier, 0) >= 1 AS trusted, created_at - created_at % 86400 AS day FROM ev LEFT JOIN tiers ON user_id = followed)"
 _SPLIT = "count(*) FILTER (trusted) AS trusted, count(*) FILTER (NOT trusted) AS untrusted"
@@ -679,7 +679,7 @@ def report_stages(spark, sf):
     return spark.createDataFrame([(i, n) for i, names in enumerate(live.stages()) for n in names], "stage int, report string")
 
 
-# ------------------------------------------------------------- reports kept by batch
+# --- reports kept by batch
 
 
 def _daily(name="daily", depends=(), kinds=None):
@@ -720,7 +720,7 @@ def late_gate(spark, sf):
     return kept.health().select("observed", "consumed", "filtered")
 
 
-# ---------------------------------------------------------------- more of the same
+# --- more of the same
 
 
 @query(
