@@ -26,7 +26,7 @@ def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
 
 
-# ------------------------------------------------------------------------ op 1
+# --- op 1
 
 
 def slow_scores(train, urls, order):
@@ -87,7 +87,7 @@ def test_url_query(spark):
     assert Q.op1_url_filter(spark, SF).count() > 0
 
 
-# ------------------------------------------------------------------------ op 2
+# --- op 2
 
 
 def archive(tmp_path, payloads, use_dictionary=True, between=b""):
@@ -121,7 +121,7 @@ def test_archive_faults(tmp_path):
     assert not list(warc_zst.read_range(path, 0, 0, 0))
 
 
-# ------------------------------------------------------------------------ op 3
+# --- op 3
 
 
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
@@ -158,7 +158,7 @@ def test_tiff_faults():
     assert zlib.decompress(zlib.compress(b"x")) == b"x"
 
 
-# ------------------------------------------------------------------------ op 4
+# --- op 4
 
 
 def test_compact_windows_hold_their_minimum():
@@ -280,7 +280,7 @@ def test_all_pairs_of_an_edited_passage(spark):
     assert len(got - want) <= 0.01 * len(got)
 
 
-# ------------------------------------------------------------------------ op 5
+# --- op 5
 
 
 def test_join_against_brute_force(spark):
@@ -333,7 +333,7 @@ def test_classes_of_many_near_copies(spark):
         assert {x["class_id"] for x in got.values()} == {0}
 
 
-# ------------------------------------------------------------- ops 6, 7, 8, 9
+# --- ops 6, 7, 8, 9
 
 
 def test_language_held_out(spark):
@@ -423,7 +423,7 @@ def test_edit_matches_against_brute_force(spark):
         assert got == want and len(want) > 10
 
 
-# ----------------------------------------------------------------------- op 10
+# --- op 10
 
 
 def test_packing(spark):
@@ -459,7 +459,7 @@ def test_lower_bound_is_one():
         assert packing.lower_bound(s, 20) <= optimum(s.tolist(), 20) <= packing.best_fit_decreasing(s, 20).max() + 1
 
 
-# -------------------------------------------------------------------- pipeline
+# --- pipeline
 
 
 def test_pipeline(spark):
