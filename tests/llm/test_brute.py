@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -83,6 +84,22 @@ def test_url_scores_need_no_limit_of_grams(spark):
     assert got[0] == got[1] and math.isfinite(got[0][0]) and 200 < len(got[0][1]) < 405
 
 
+def test_url_filter_of_unseen_hosts(spark):
+    """Fitted on some hosts, judged on others that none of them is."""
+    r = random.Random(6)
+    bad, good = "casino poker jackpot slots betting bonus".split(), "museum garden history library science travel".split()
+    made = lambda kinds: f"https://{r.choice(kinds)}{r.choice(['-', ''])}{r.choice(kinds)}{r.randint(1, 999)}.{r.choice(['com', 'org', 'net'])}/{r.choice(kinds)}/{r.randint(1, 99999)}"
+    rows = [(i, made(bad if i % 4 == 0 else good), i % 4 == 0) for i in range(1600)]
+    host = lambda u: u.split("/")[2]
+    known = {host(u) for i, u, _ in rows if i < 800}
+    held = [x for x in rows if x[0] >= 800 and host(x[1]) not in known]
+    table = spark.createDataFrame(rows[:800], "page_id bigint, url string, bad boolean")
+    model = url_filter.fit(table, ~F.col("bad"), F.col("bad"))
+    kept = {x["page_id"] for x in url_filter.keep(spark.createDataFrame(held, "page_id bigint, url string, bad boolean"), model).collect()}
+    assert sum(i in kept for i, _, b in held if not b) >= 0.97 * sum(not b for *_, b in held)
+    assert sum(i in kept for i, _, b in held if b) <= 0.1 * sum(b for *_, b in held)
+
+
 def test_url_query(spark):
     assert Q.op1_url_filter(spark, SF).count() > 0
 
@@ -462,6 +479,87 @@ def test_lower_bound_is_one():
 # --- pipeline
 
 
+def plain_language(model, text):
+    """Whether a text is accepted, by the centroids but one trigram after the other."""
+    x = re.sub(b"[^a-z\\x80-\\xff]+", b" ", (text or "").lower().encode())
+    counts = {}
+    bits = int(len(model.idf)).bit_length() - 1
+    for i in range(len(x) - 2):
+        code = x[i] << 16 | x[i + 1] << 8 | x[i + 2]
+        slot = (code * 2654435761 & 0xFFFFFFFF) >> (32 - bits)
+        counts[slot] = counts.get(slot, 0) + 1
+    if not counts:
+        return False
+    v = {k: (1 + math.log(n)) * float(model.idf[k]) for k, n in counts.items()}
+    norm = math.sqrt(sum(w * w for w in v.values()))
+    best = max(sum(w * float(c[k]) for k, w in v.items()) / norm for c in model.centroids)
+    return best >= model.limit[min(20, int(math.log2(sum(counts.values()))))] - 1e-6
+
+
+def plain_least(item, text):
+    """Least edit distance of ``item`` to any part of ``text``, a row of the table at a time."""
+    t = np.frombuffer(text.encode("latin-1"), np.uint8)
+    place, row = np.arange(len(t) + 1), np.zeros(len(t) + 1, np.int64)
+    for i, ch in enumerate(item.encode("latin-1"), 1):
+        below = np.concatenate([[i], np.minimum(row[:-1] + (t != ch), row[1:] + 1)])
+        row = np.minimum.accumulate(below - place) + place
+    return int(row.min())
+
+
+def test_pipeline_against_plain_python(spark):
+    """All five stages again, without any of their code but the fitted models."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = langid.fit(docs)
+    rows = {k: t for k, t in rows.items() if plain_language(model, t)}
+    sets = {}
+    for k, t in rows.items():
+        w = re.findall(b"[a-z0-9\\x80-\\xff]+", t.lower().encode())
+        sets[k] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+    root = {k: k for k in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(rows)
+    for i in ids:
+        for j in ids:
+            if i < j and sets[i] and 2 * (both := len(sets[i] & sets[j])) >= len(sets[i] | sets[j]) and both:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    rows = {k: t for k, t in rows.items() if find(k) == k}
+    plain = lambda t: re.sub(b"[^a-z0-9\\x80-\\xff]+", b" ", (t or "").lower().encode()).strip().decode("latin-1")
+    items = [plain(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert min(map(len, items)) >= 40
+    rows = {k: t for k, t in rows.items() if not any(plain_least(i, plain(t)) <= int(len(i) * 0.05) for i in items)}
+    for k, t in rows.items():
+        for a, b, kind, _ in reversed(pii.find(pa.array([t]), *pii.train(3000)).get(0, [])):
+            raw = t.encode()
+            t = (raw[:a] + f"[{pii.KINDS[kind]}]".encode() + raw[b:]).decode()
+        rows[k] = t
+    want, left = set(), []
+    for k, t in rows.items():
+        size = len(t.encode()) + 1
+        want |= {(k, c, min(8192, size - 8192 * c)) for c in range(-(-size // 8192))}
+        left += [size % 8192] * (size % 8192 > 0)
+    free = []
+    for size in sorted(left, reverse=True):  # best fit, by looking at every bin
+        fits = [i for i, f in enumerate(free) if f >= size]
+        if fits:
+            free[min(fits, key=lambda i: free[i])] -= size
+        else:
+            free.append(8192 - size)
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {(r["doc_id"], r["chunk"], r["size"]) for r in got} == want
+    held = {}
+    for r in got:
+        held[r["bin_id"]] = held.get(r["bin_id"], 0) + r["size"]
+    assert max(held.values()) <= 8192 and len(held) == len(free) + len(want) - len(left)
+    assert 0.6 * docs.count() < len(rows) < docs.count()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept, before = docs, docs.columns
