@@ -825,10 +825,10 @@ def search_hashtag(spark, sf):
     return _matching(_event_documents(spark, sf), SearchFilter(search="#TAG3 until:2100-01-01")).select("event_id")
 
 
-@query(_event_sql("user_id = 10 AND kind IN (1, 7)"))
+@query(_event_sql("user_id IN (10, 11) AND kind IN (1, 7)"))
 def search_author(spark, sf):
-    """Authors by key in any case; what can't be read as one names nobody."""
-    f = SearchFilter(authors=[f"{10:064X}", "npub1nobody"], kinds=[1, 7], until=1 << 40)
+    """Authors by key in any case or encoded; what can't be read as one names nobody."""
+    f = SearchFilter(authors=[f"{10:064X}", bech32.encode_key("npub", f"{11:064x}"), "npub1nobody"], kinds=[1, 7], until=1 << 40)
     return _matching(_event_documents(spark, sf), f).select("event_id")
 
 
