@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), where ``docs`` is all that the stage
 before it kept, and works on all of it; all but the last return the columns of
-``documents``.  A row whose ``doc_id`` is null is judged alone: it can be
-rejected by language or contamination and redacted, never merged.
+``documents``, whatever else these are called.
+
+Defined results: a row whose ``doc_id`` is null is judged alone: it can be
+rejected by language or contamination and redacted, never merged.  Null, empty
+and letterless texts have no language and go at once.  Rows that repeat an id stay
+or go together as near-duplicates (with the text of fewest grams), and each by its
+own text elsewhere.  A group of near-duplicates keeps its lowest id.  Texts of any
+length are read whole.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,7 +61,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: none of the stages can be said in SQL; tests hold run() against brute force
+#: none of the stages can be said in SQL; tests/llm holds run() against plain Python
 ORACLE_SQL = None
 
 

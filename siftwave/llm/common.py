@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], max_bytes: int = 2 << 20, text: int = 1):
+def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], max_bytes: int = 1 << 20, text: int = 1):
     """Lift ``fn`` over mapInArrow batches, re-cut so that column ``text`` holds
     about ``max_bytes`` per call (one longer text still goes through whole)."""
 
