@@ -396,7 +396,7 @@ def test_toxicity_of_many_languages(spark):
     r, rows = random.Random(4), []
     for k in range(30):
         bad = ["".join(r.choices("abcdefghij", k=8)) for _ in range(4)]
-        for i in range(60):
+        for i in range(180):  # thirty labelled toxic ones, enough to be more than chance
             toxic = i % 3 == 0
             text = r.choices(VOCAB, k=40) + [f"{w}{r.choice(VOCAB)}" for w in (bad if toxic else [])]
             r.shuffle(text)
