@@ -58,9 +58,10 @@ def tokens(s: Column) -> Column:
     """Folded tokens by position; null where one was too long to keep."""
     # one fold over all of them in a line: it's the costly part, and nothing to it where all is ASCII
     kept = F.transform(raw_tokens(s), lambda t: F.when(F.octet_length(t) < MAX_TOKEN_BYTES, t))
-    line = F.array_join(kept, "\x02", "\x01")
-    split = F.transform(F.split(fold(line), "\x02"), lambda t: F.nullif(t, F.lit("\x01")))
-    return F.when(s.isNotNull(), F.when(line == "", F.array().cast("array<string>")).otherwise(split))
+    split = lambda line: F.transform(F.split(fold(line), "\x02"), lambda t: F.nullif(t, F.lit("\x01")))
+    # as a lambda's variable the line is made once, however often it's used
+    out = F.transform(F.array(F.array_join(kept, "\x02", "\x01")), lambda line: F.when(line == "", F.array().cast("array<string>")).otherwise(split(line)))
+    return F.when(s.isNotNull(), F.get(out, F.lit(0)))
 
 
 def _line(have: Column) -> Column:

@@ -45,12 +45,12 @@ def write(docs: DataFrame, path: str, mode: str = "append", per_file: int = 5_00
     ranged by time, so that a large month is of many tasks and files; postings by
     bucket of the term and ranged by term, so that one term's are together."""
     spark = docs.sparkSession
-    ranged = docs.repartitionByRange("shard_ym", "created_at", "event_id").sortWithinPartitions("shard_ym", "created_at")
     batch = f"{path}/batches/{spark.sparkContext.applicationId}-{id(docs)}"
-    # tokens are made once: what follows reads them back
-    ranged.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(batch)
+    # tokens are made once, before anything is ranged, as that samples its input first
+    docs.write.mode("overwrite").parquet(batch)
     own = spark.read.schema(docs.schema).parquet(batch)
-    own.write.mode(mode).partitionBy("shard_ym").option("maxRecordsPerFile", per_file).parquet(f"{path}/documents")
+    ranged = own.repartitionByRange("shard_ym", "created_at", "event_id").sortWithinPartitions("shard_ym", "created_at")
+    ranged.write.mode(mode).partitionBy("shard_ym").option("maxRecordsPerFile", per_file).parquet(f"{path}/documents")
     post = postings(own).repartitionByRange("bucket", "term", "event_id").sortWithinPartitions("bucket", "term")
     post.write.mode(mode).partitionBy("bucket").option("maxRecordsPerFile", per_file).parquet(f"{path}/postings")
     sizes(own).write.mode(mode).parquet(f"{path}/sizes")
