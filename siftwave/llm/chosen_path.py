@@ -15,7 +15,7 @@ probability 0.25 if it ends at depth one and about 0.4 at depth two;
 Pairs close by their min-hashes are candidates.  Each connected component of
 them is cut into blocks of about ``block_grams`` grams; a set goes once to each
 pair of blocks it is in, and there the exact Jaccard of every candidate is
-counted on bit vectors.
+counted on bit vectors, for a bounded number of pairs at a time.
 
 ``join`` gives (doc_a, doc_b, jaccard) with doc_a < doc_b: each copy with the
 lowest id of its set at 1.0, and each near pair of sets by their lowest ids.
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.llm.common import Words, clean_ids, drop_ids, heads, materialise, mix, pack_lists, per_batch, raw_bytes, shingles, some, whole
+from siftwave.llm.common import Words, clean_ids, cuts, drop_ids, heads, materialise, mix, pack_lists, per_batch, raw_bytes, shingles, some, whole
 from siftwave.llm.graph import components
 
 _U = np.uint64
@@ -139,41 +139,61 @@ def _unique(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[new, 0]), pa.array(both[new, 1])], ["a", "b"])
 
 
-def _sets(n: int):
-    """Of (id, text, one, [(root, x, y)]) the set of the text, for each block pair."""
+def _sets(n: int, most: int = 1 << 22):
+    """Of (id, text, one, [(root, x, y)]) the set of the text, for each block pair, in
+    batches of about ``most`` grams however many block pairs there are."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def cut(batch: pa.RecordBatch):
         sh, row = _distinct(Words(batch.column(1)), n)
         off = np.searchsorted(row, np.arange(batch.num_rows + 1))
         acc = np.concatenate([np.zeros(1, _U), np.cumsum(mix(sh ^ _U(0xA5A5A5A5)))])
         # rows that repeat an id may have another text
         right = np.flatnonzero((acc[off[1:]] - acc[off[:-1]]).view(np.int64) == np.asarray(batch.column(2)))
         if not len(right):
-            return None
+            return
         grams = pack_lists((mix(sh) >> _U(32)).astype(np.uint32), off)
         to = batch.column(3).take(pa.array(right))
-        own = pa.array(np.repeat(right, np.asarray(pc.list_value_length(to))))
+        own = np.repeat(right, np.asarray(pc.list_value_length(to)))
         root, x, y = to.flatten().flatten()
-        return pa.RecordBatch.from_arrays([root, x, y, batch.column(0).take(own), pa.nulls(len(own), pa.int64()), grams.take(own)], ["root", "x", "y", "a", "b", "grams"])
+        total, s = np.cumsum(np.diff(off)[own]), 0
+        while s < len(own):
+            e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + most, side="right")))
+            part = pa.array(own[s:e])
+            yield pa.RecordBatch.from_arrays([root[s:e], x[s:e], y[s:e], batch.column(0).take(part), pa.nulls(e - s, pa.int64()), grams.take(part)], ["root", "x", "y", "a", "b", "grams"])
+            s = e
+
+    def run(batches):
+        for batch in batches:
+            for a, b in cuts(batch.column(1), 1 << 20):
+                yield from cut(batch.slice(a, b - a))
 
-    return per_batch(run), "root bigint, x int, y int, a bigint, b bigint, grams binary"
+    return run, "root bigint, x int, y int, a bigint, b bigint, grams binary"
 
 
-def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 1 << 15) -> np.ndarray:
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: int = 1 << 25) -> np.ndarray:
     """Sizes of the intersections of sets ``left[k]`` and ``right[k]``, by bit
-    vectors over the elements that two sets or more have, ``width`` at a time."""
-    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    kinds, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(count > 1) - 1
-    shared = count[at] > 1
-    own, at = own[shared], rank[at[shared]]
+    vectors over the elements that two sets or more have, so many at a time that
+    all sets have ``most`` of them."""
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable").astype(np.int32)
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    count = np.diff(np.append(np.flatnonzero(new), len(values)))
+    kind = np.cumsum(count > 1, dtype=np.int32) - 1
+    shared = np.repeat(count > 1, count)
+    # the elements of rising rank, each with its sets
+    at = np.repeat(kind, count)[shared]
+    own = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order[shared]]
+    del values, order, new, shared
     out = np.zeros(len(left), np.int64)
-    for s in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
-        inside = (at >= s) & (at < s + width)
-        size = min(width, int(rank[-1]) + 1 - s)
-        words = -(-size // 64)
+    kinds = int(at[-1]) + 1 if len(at) else 0
+    width = max(64, most // len(sets) // 64 * 64)
+    for s in range(0, kinds, width):
+        a, b = np.searchsorted(at, [s, s + width])
+        words = -(-min(width, kinds - s) // 64)
         bits = np.zeros((len(sets), words * 64), bool)
-        bits[own[inside], at[inside] - s] = True
+        bits[own[a:b], at[a:b] - s] = True
         bits = np.packbits(bits, axis=1).view(np.uint64)
         step = max(1, (1 << 18) // words)
         for k in range(0, len(left), step):
@@ -193,8 +213,52 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return out
 
 
-def _settle(threshold: float, few: int = 12):
-    """Exact Jaccard of the pairs of every block pair; its sets are the rows with null ``b``."""
+def _parts(batches, most: int):
+    """Of rows (root, x, y, a, b, grams), sorted by the first three and by ``b`` with null
+    first: (sets, pairs) of whole block pairs, as many as have ``most`` grams and
+    pairs; of a block pair of more pairs, its sets with ``most`` pairs at a time."""
+    sets, pairs, size, waiting, group, key = [], [], 0, 0, 0, None
+
+    def taken():
+        joined = [[np.concatenate(c) for c in zip(*x)] for x in ([y[:2] for y in sets], pairs)]
+        return joined[0], [g for x in sets for g in x[2]], joined[1]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [np.asarray(batch.column(k)) for k in range(3)]
+        at = heads(*keys)
+        is_set = np.asarray(batch.column(4).is_null())
+        a, b = np.asarray(batch.column(3)), np.asarray(pc.fill_null(batch.column(4), 0))
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            now = tuple(int(k[s]) for k in keys)
+            if now != key:
+                if size >= most:
+                    if pairs and sets:
+                        yield taken()
+                    sets, pairs, size, waiting = [], [], 0, 0
+                key, group = now, group + 1
+            cut = s + int(np.count_nonzero(is_set[s:e]))  # the sets come first
+            if cut > s:
+                data, off = raw_bytes(batch.column(5).slice(s, cut - s), lower=False)
+                data = data.view(np.uint32).copy()
+                sets.append((np.full(cut - s, group), a[s:cut].copy(), np.split(data, off[1:-1] // 4)))
+                size += len(data)
+            if e > cut:
+                pairs.append((np.full(e - cut, group), a[cut:e].copy(), b[cut:e].copy()))
+                size, waiting = size + e - cut, waiting + e - cut
+                if waiting >= most and sets:
+                    yield taken()
+                    # the block pair may go on: its sets stay
+                    sets = [x for x in sets if x[0][0] == group]
+                    pairs, waiting, size = [], 0, sum(len(g) for x in sets for g in x[2])
+    if pairs and sets:
+        yield taken()
+
+
+def _settle(threshold: float, few: int = 12, most: int = 1 << 19):
+    """Exact Jaccard of the pairs of every block pair; its sets are the rows with null
+    ``b``.  However many pairs a block pair has, ``most`` are held at once."""
 
     def found(a, b, both, n_a, n_b):
         value = both / np.maximum(n_a + n_b - both, 1)
@@ -203,25 +267,22 @@ def _settle(threshold: float, few: int = 12):
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(np.round(value[keep], 6))], ["doc_a", "doc_b", "jaccard"])
 
     def run(batches):
-        for cols in whole(batches, 3, 4096):
-            a, pair = np.asarray(cols[3]), np.asarray(cols[4].is_valid())
-            b = np.asarray(pc.fill_null(cols[4], 0))
-            data, off = raw_bytes(cols[5], lower=False)
-            at = heads(*(np.asarray(c) for c in cols[:3]))
+        for (of_set, ids), grams, (of_pair, left, right) in _parts(batches, most):
             small_sets, small = [], []
-            for s, e in zip(at[:-1], at[1:]):
-                where = s + np.flatnonzero(pair[s:e])
-                own = s + np.flatnonzero(~pair[s:e])
-                ids, head = np.unique(a[own], return_index=True)
-                sets = [data[off[k] : off[k + 1]].view(np.uint32) for k in own[head]]
-                if not len(where) or not len(sets):
+            for g in np.unique(of_pair).tolist():
+                own = slice(*np.searchsorted(of_set, [g, g + 1]).tolist())
+                pair = slice(*np.searchsorted(of_pair, [g, g + 1]).tolist())
+                known, head = np.unique(ids[own], return_index=True)
+                sets = [grams[own.start + k] for k in head.tolist()]
+                if not sets:
                     continue
-                i, j = np.searchsorted(ids, a[where]), np.searchsorted(ids, b[where])
+                a, b = left[pair], right[pair]
+                i, j = (np.searchsorted(known, x).astype(np.int32) for x in (a, b))
                 size = np.array([len(x) for x in sets])
-                if len(where) > few:
-                    yield from found(a[where], b[where], intersections(sets, i, j), size[i], size[j])
+                if len(a) > few:
+                    yield from found(a, b, intersections(sets, i, j), size[i], size[j])
                 else:
-                    small.append((a[where], b[where], i + len(small_sets), j + len(small_sets), size[i], size[j]))
+                    small.append((a, b, i + len(small_sets), j + len(small_sets), size[i], size[j]))
                     small_sets += sets
             if small:
                 x, y, i, j, n_a, n_b = (np.concatenate(c) for c in zip(*small))
@@ -277,7 +338,7 @@ def _near(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     pairs = near.join(sized.select(F.col("id").alias("a"), "root", F.col("own").alias("p")), "a").join(places.select(F.col("id").alias("b"), F.col("own").alias("q")), "b")
     pairs = pairs.select("root", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "a", "b", F.lit(None).cast("binary").alias("grams"))
     settle, schema = _settle(threshold)
-    placed = sets.unionByName(pairs).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+    placed = sets.unionByName(pairs).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "b")
     return members, placed.mapInArrow(settle, schema)
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -350,6 +351,34 @@ def test_classes_of_many_near_copies(spark):
         assert {x["class_id"] for x in got.values()} == {0}
 
 
+def test_a_block_pair_in_bounded_memory():
+    """6000 sets of one block pair and a million pairs of them: exact, and not all at once."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60000, 30)).astype(np.uint32) for _ in range(5999)]
+    sets.append(np.union1d(sets[0], sets[1][:3]).astype(np.uint32))
+    a, b = rng.integers(0, 3000, 1_000_000), np.sort(rng.integers(3000, 6000, 1_000_000))
+    a[-1], b[-1] = 0, 5999
+
+    def batches():
+        for s in range(0, 6000, 1000):
+            yield rows(np.arange(s, s + 1000), pa.nulls(1000, pa.int64()), pa.array([x.tobytes() for x in sets[s : s + 1000]], pa.binary()))
+        for s in range(0, len(a), 10000):
+            yield rows(a[s : s + 10000], pa.array(b[s : s + 10000]), pa.nulls(10000, pa.binary()))
+
+    def rows(x, y, grams):
+        same = [pa.array(np.full(len(x), 7, kind)) for kind in (np.int64, np.int32, np.int32)]
+        return pa.RecordBatch.from_arrays([*same, pa.array(x), y, grams], ["root", "x", "y", "a", "b", "grams"])
+
+    settle, _ = chosen_path._settle(0.5)
+    tracemalloc.start()
+    got = [r for part in settle(batches()) for r in part.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    both = len(np.intersect1d(sets[0], sets[5999]))
+    assert {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in got} == {(0, 5999): round(both / len(sets[5999]), 6)}
+    assert peak < 120e6
+
+
 # --- ops 6, 7, 8, 9
 
 
