@@ -12,7 +12,8 @@ on either side of the minimum.  Records of one min-hash meet.  Those of one
 context are linked with the lowest document among them; those that share
 ``_SURE`` chunks in a row around the minimum (an exact run) with the lowest
 that has these.  Of the contexts with one run of 9 chunks (longer than any that is
-asked for) the lowest stands for that run, and every two that stand for a run are
+asked for) the lowest stands for that run (and the next document's, where the lowest
+has several contexts of that min-hash), and every two that stand for a run are
 compared by the chunks they agree in, and taken as a candidate where one edit in
 runs they stand for can explain what they don't: no two texts go uncompared.
 Groups of any size are compared whole: beyond ``block`` contexts in blocks that
@@ -258,14 +259,24 @@ class Linker:
 
     def stands(self, group, doc, place, chunks):
         """Of every context the runs (bit j, as in ``_explained``), with a chunk more on
-        either side, that it's the lowest of its group to have."""
+        either side, that it's the lowest of its group to have; or the next
+        document's, where the lowest has several contexts in the group: it isn't compared
+        with itself, so what two others have of it would go unlinked."""
         width = _width(self.size)
+        order = np.lexsort((doc, group))
+        at = heads(group[order], doc[order])
+        several = np.zeros(len(doc), bool)
+        several[order] = np.repeat(np.diff(at) > 1, np.diff(at))
         out = np.zeros(len(doc), np.uint16)
         for j in range(max(0, width - _SIDE), min(width, _SIDE) + 1):
             own = chunks[:, max(0, _SIDE - j - 1) : _SIDE + width - j + 1].astype(_U)
             run = mix((own * _MULT[: own.shape[1]]).sum(axis=1, dtype=_U) + _U(j + 1))
             order = np.lexsort((place, doc, run, group))
-            out[order[heads(group[order], run[order])[:-1]]] |= 1 << j
+            at = heads(group[order], run[order])
+            first = np.repeat(order[at[:-1]], np.diff(at))
+            out[order[at[:-1]]] |= 1 << j
+            other = np.flatnonzero((doc[order] != doc[first]) & several[first])
+            out[order[other[heads(first[other])[:-1]]]] |= 1 << j
         return out
 
     def candidates(self, group, doc, place, chunks, stands, own=None):
@@ -333,7 +344,8 @@ def _by_key(size: int, block: int, apart: bool):
     linker = Linker(size, block)
 
     def distinct(batches, out):
-        """The rows that begin a context; the others are linked at once."""
+        """The rows that begin a context, and the first of the next document that has it;
+        all but the first are linked at once."""
         last = None
         for batch in batches:
             if not batch.num_rows:
@@ -345,12 +357,18 @@ def _by_key(size: int, block: int, apart: bool):
             if last is not None and key[0] == last[0] and (words[0] == last[1]).all():
                 first[0] = False
             rep = np.cumsum(first)
-            before = (doc[0], place[0]) if last is None else last[2:]
+            before = (doc[0], place[0]) if last is None else last[2:4]
             rep_doc = np.concatenate([[before[0]], doc[first]])[rep]
             rep_place = np.concatenate([[before[1]], place[first]])[rep]
             if not apart:
                 out.append(linker.copies(doc, place, rep_doc, rep_place))
-            last = (key[-1], words[-1].copy(), rep_doc[-1], rep_place[-1])
+            other = np.flatnonzero(doc != rep_doc)
+            second = other[heads(rep[other])[:-1]] if len(other) else other
+            if last is not None and last[4] and len(second) and rep[second[0]] == 0:
+                second = second[1:]  # a batch before has it
+            had = bool(len(other) and rep[other[-1]] == rep[-1] or rep[-1] == 0 and last is not None and last[4])
+            last = (key[-1], words[-1].copy(), rep_doc[-1], rep_place[-1], had)
+            first[second] = True
             yield batch.filter(pa.array(first))
 
     def run(batches):
@@ -368,7 +386,8 @@ def _by_key(size: int, block: int, apart: bool):
             key, doc, place, raw = key[many], doc[many], place[many], raw[many]
             chunks = _unpacked(raw)
             if not apart:
-                yield from _gathered(linker.exact(key, doc, place, chunks), size)
+                fresh = heads(key, *raw.view(np.uint64).T)[:-1]
+                yield from _gathered(linker.exact(key[fresh], doc[fresh], place[fresh], chunks[fresh]), size)
             stands = linker.stands(key, doc, place, chunks)
             # what stands for nothing has been linked; whether a group is large depends on the rest
             left = np.flatnonzero(stands)

@@ -298,6 +298,19 @@ def test_all_pairs_of_an_edited_passage(spark):
     assert len(got - want) <= 0.01 * len(got)
 
 
+def test_links_of_runs_that_one_document_has_both_of(spark):
+    r = random.Random(12)
+    new = lambda n: r.choices(VOCAB, k=n)
+    passage = new(300)
+    edited = list(passage)
+    for k in range(25, 300, 50):
+        edited[k] = "edited"
+    # the lowest stands for both runs, and isn't compared with itself
+    texts = [new(20) + passage + new(90) + edited + new(20), new(30) + passage + new(40), new(25) + edited + new(50)]
+    got = compact_windows.passages(frame(spark, [" ".join(t) for t in texts])).where("doc_a = 1 and doc_b = 2 and jaccard < 1").collect()
+    assert any(x["start_b"] - x["start_a"] == -5 and x["start_a"] < 180 < x["end_a"] for x in got)
+
+
 # --- op 5
 
 
