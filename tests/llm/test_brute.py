@@ -422,6 +422,20 @@ def test_secrets_of_letters_and_marks():
     assert sum(g == [w] for g, w in zip(got, want)) >= 36 and all(g and w in g[0] for g, w in zip(got, want)) and len(texts) not in found and len(texts) + 1 not in found
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """A word of 40 of 20,000 labelled toxic rows is mined, and sums
+    are the same wherever they are made and however rows are spread."""
+    word = lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", F.lit(j)), F.lit(3000)))
+    rows = spark.range(60_000).withColumnRenamed("id", "doc_id").withColumn("toxic", (F.col("doc_id") % 3 == 0).cast("int"))
+    own = F.when(F.col("toxic") == 0, "fine").when(F.col("doc_id") % 500 == 0, "zyxwrare").otherwise("blorgcommon")
+    rows = rows.select("doc_id", F.concat_ws(" ", *[word(j) for j in range(5)], own).alias("text"), F.lit("en").alias("lang"), "toxic")
+    docs, labels = rows.drop("toxic"), rows.select("doc_id", "toxic")
+    models = [toxicity.fit(docs, labels, rounds=5), toxicity.fit(docs.repartition(3), labels, rounds=5, small=0, max_broadcast=0)]
+    for w in ("zyxwrare", "blorgcommon"):
+        assert all(toxicity.word_hash([w])[0] in m.voters.mined[-1][0] for m in models)
+    assert models[0].limit == models[1].limit and models[0].linear.bias == models[1].linear.bias and (models[0].linear.weight == models[1].linear.weight).all()
+
+
 @pytest.mark.parametrize("sf,least", [("sf0.1", 0.8), ("sf0.01", 0.6)])
 def test_toxicity_held_out(spark, sf, least):
     """Fitted on the labels of even ids, judged on those of odd ones."""
