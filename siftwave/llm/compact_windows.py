@@ -21,6 +21,13 @@ are spread over tasks, which gives the same links.  One function misses a pair
 of runs at Jaccard 0.8 with probability 0.2, two with 0.04, and passages longer
 than ``min_words`` have several runs; exact runs are never missed.
 
+Candidates are as many as the pairs of near copies, so they never leave a task.  Of each
+min-hash only the records that have any go on, with a forest of their documents; then every
+component (in blocks of about ``block_tokens``, a task for each pair of blocks) gets these
+records, its exact links and the tokens about its minima, finds the candidates again, of
+``part`` documents with as many at a time, and settles them: what is stored and shuffled
+grows with the documents and blocks, the comparisons alone with the pairs.
+
 The links of all functions are joined as intervals: those of one pair and
 diagonal that touch are one stretch.  Exact runs are certain; candidate stretches
 that no exact run of their diagonal covers are verified on their tokens: the
@@ -59,6 +66,8 @@ _PLACE = 28
 _LOW = _U((1 << _PLACE) - 1)
 #: tokens in a chunk, chunks on either side of the minimum, and chunks in a row that make an exact run
 _CHUNK, _SIDE, _SURE = 6, 8, 8
+#: tokens, or candidates, that are looked at in one go
+_AT_ONCE = 1 << 18
 _rng = np.random.default_rng(41)
 _MULT = _rng.integers(1, 1 << 63, 64, dtype=_U) | _U(1)
 _ADD = _rng.integers(0, 1 << 63, 64, dtype=_U)
@@ -211,20 +220,20 @@ def _extent(agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Linker:
-    """Links (a, b, diag, lo, hi, exact) of records that come sorted by key, context,
-    id and place: runs of a that start from lo to hi, with those of b by diag after."""
+    """Links (a, b, diag, lo, hi) of records that come sorted by key, context, id
+    and place: runs of a that start from lo to hi, with those of b by diag after."""
 
     def __init__(self, size: int, block: int):
         self.size, self.block = size, block
         self.edit, self.same = _explained(size)
         self.runs = np.arange(2 * _SIDE - _SURE + 1)
 
-    def _link(self, doc, place, i, j, left, right, exact):
+    def _link(self, doc, place, i, j, left, right):
         """Of pairs of rows whose runs reach ``left`` and ``right`` tokens from the minimum."""
         flip = doc[i] > doc[j]
         i, j = np.where(flip, j, i), np.where(flip, i, j)
         c = place[i] >> 8
-        return doc[i], doc[j], (place[j] >> 8) - c, c - left, c + np.maximum(right - self.size, -left), np.full(len(i), exact)
+        return doc[i], doc[j], (place[j] >> 8) - c, c - left, c + np.maximum(right - self.size, -left)
 
     def _reach(self, place, left, right):
         """Tokens in so many chunks either side of the minimum."""
@@ -240,7 +249,7 @@ class Linker:
         at = np.flatnonzero(doc != rep_doc)
         both, where = np.concatenate([rep_doc[at], doc[at]]), np.concatenate([rep_place[at], place[at]])
         k = np.arange(len(at))
-        return self._link(both, where, k, k + len(at), *self._reach(place[at], _SIDE, _SIDE), True)
+        return self._link(both, where, k, k + len(at), *self._reach(place[at], _SIDE, _SIDE))
 
     def exact(self, group, doc, place, chunks):
         """Of distinct contexts, those that share a run of chunks, with the lowest of it."""
@@ -255,7 +264,7 @@ class Linker:
             other = doc[rep] != doc[order]
             found.append(np.stack([rep[other], order[other]], axis=1))
         i, j = np.unique(np.concatenate(found), axis=0).T
-        yield self._link(doc, place, i, j, *self._reach(place[i], *_extent(chunks[i] == chunks[j])), True)
+        yield self._link(doc, place, i, j, *self._reach(place[i], *_extent(chunks[i] == chunks[j])))
 
     def stands(self, group, doc, place, chunks):
         """Of every context the runs (bit j, as in ``_explained``), with a chunk more on
@@ -279,9 +288,9 @@ class Linker:
             out[order[other[heads(first[other])[:-1]]]] |= 1 << j
         return out
 
-    def candidates(self, group, doc, place, chunks, stands, own=None):
-        """Pairs of one group, of two blocks where ``own`` says so, that share no
-        exact run but may be one edit apart in runs that they stand for."""
+    def candidates(self, group, doc, place, chunks, stands, own=()):
+        """Pairs (i, j) of one group that differ in each of ``own``, that share no exact
+        run but may be one edit apart in runs that they stand for."""
         at = heads(*group)
         left = np.repeat(at[1:], np.diff(at)) - np.arange(len(doc))
         full, plain = self._full(place), _plain(chunks, self.size) & stands
@@ -290,8 +299,8 @@ class Linker:
             for s in range(0, len(alive), 1 << 17):
                 i = alive[s : s + (1 << 17)]
                 i = i[doc[i] != doc[i + d]]
-                if own is not None:
-                    i = i[own[i] != own[i + d]]
+                for v in own:
+                    i = i[v[i] != v[i + d]]
                 agree = chunks[i] == chunks[i + d]
                 # both beyond their texts isn't agreement
                 bits = np.packbits(agree & (chunks[i] != 0), axis=1).astype(np.int64)
@@ -302,28 +311,41 @@ class Linker:
                 i, (before, after) = i[near], _extent(agree[near])
                 sure = full[i] & (self.runs >= _SIDE - before[:, None]) & (self.runs + _SURE <= _SIDE + after[:, None])
                 i = i[~sure.any(axis=1)]
-                # a run may reach as far from the minimum as it is long
-                reach = np.full(len(i), self.size - 1)
-                yield self._link(doc, place, i, i + d, reach, reach + 1, False)
+                if len(i):
+                    yield i, i + d
             d += 1
             alive = alive[left[alive] > d]
 
+    def near(self, doc, place, i, j):
+        """Links of candidates: a run may reach as far from the minimum as it is long."""
+        reach = np.full(len(i), self.size - 1)
+        return self._link(doc, place, i, j, reach, reach + 1)
+
 
-_LINKS = "a bigint, b bigint, diag int, lo int, hi int, exact boolean"
+#: what a row is: a run's tokens (id, -, start, -, -, tokens), a record that has a candidate
+#: (id, key, place, stands, -, context), an exact link (a, b, diag, lo, hi), an edge of a forest (a, b)
+_RUN, _ROW, _EXACT, _EDGE = range(4)
+_FOUND = "kind int, p bigint, q bigint, r bigint, lo int, hi int, data binary"
 _APART = "key bigint, x int, y int, own int, id bigint, place bigint, stands int, context binary"
 
 
+def _found(kind: int, p, q, r=None, lo=None, hi=None, data=None) -> pa.RecordBatch:
+    n = len(p)
+    rest = [pa.nulls(n, t) if v is None else pa.array(v.astype(t.to_pandas_dtype())) for v, t in ((r, pa.int64()), (lo, pa.int32()), (hi, pa.int32()))]
+    data = pa.nulls(n, pa.binary()) if data is None else _binary(data)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(p), pa.array(q), *rest, data], ["kind", "p", "q", "r", "lo", "hi", "data"])
+
+
 def _merged(parts, size: int):
-    """Links of one pair, diagonal and stretch as one."""
-    a, b, diag, lo, hi, exact = (np.concatenate(x) for x in zip(*parts))
+    """Exact links of one pair, diagonal and stretch as one."""
+    a, b, diag, lo, hi = (np.concatenate(x) for x in zip(*parts))
     if not len(a):
         return
     stretch = lo // size
-    order = np.lexsort((stretch, diag, exact, b, a))
-    at = heads(*(x[order] for x in (a, b, diag, stretch, exact)))[:-1]
+    order = np.lexsort((stretch, diag, b, a))
+    at = heads(*(x[order] for x in (a, b, diag, stretch)))[:-1]
     lo, hi = np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
-    a, b, diag, exact = (x[order][at] for x in (a, b, diag, exact))
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.array(x.astype(np.int32)) for x in (diag, lo, hi)], pa.array(exact)], ["a", "b", "diag", "lo", "hi", "exact"])
+    yield _found(_EXACT, *(x[order][at] for x in (a, b, diag)), lo, hi)
 
 
 def _gathered(parts, size: int, most: int = 1 << 19):
@@ -338,9 +360,30 @@ def _gathered(parts, size: int, most: int = 1 << 19):
         yield from _merged(held, size)
 
 
+def _met(pairs, key, doc, place, stands, raw, most: int = 1 << 19):
+    """Of candidates the records that have any, and a forest of their documents: they
+    are as many as the pairs within a group, so they don't leave the task."""
+    used, held, rows = np.zeros(len(doc), bool), [], 0
+    for i, j in pairs:
+        used[i] = used[j] = True
+        held.append((doc[i], doc[j]))
+        rows += len(i)
+        if rows > most:
+            held = [contract(*(np.concatenate(x) for x in zip(*held)))]
+            rows = len(held[0][0])
+            if 2 * rows > most:
+                yield _found(_EDGE, *held[0])
+                held, rows = [], 0
+    if held:
+        yield _found(_EDGE, *contract(*(np.concatenate(x) for x in zip(*held))))
+    if used.any():
+        yield _found(_ROW, doc[used], key[used], place[used], stands[used], None, raw[used])
+
+
 def _by_key(size: int, block: int, apart: bool):
-    """Of (key, id, place, context), sorted: the links; or, where ``apart``, the rows of
-    groups of more than ``block`` contexts, for every pair of blocks."""
+    """Of (key, id, place, context), sorted: the exact links, and what ``_met`` has of the
+    candidates; or, where ``apart``, the rows of groups of more than ``block`` contexts, for
+    every pair of blocks."""
     linker = Linker(size, block)
 
     def distinct(batches, out):
@@ -400,7 +443,8 @@ def _by_key(size: int, block: int, apart: bool):
                     yield from _spread(key[x], doc[x], place[x], stands[x], raw[x], block)
                 continue
             small = count <= block
-            yield from _gathered(linker.candidates((key[small],), doc[small], place[small], chunks[small], stands[small]), size)
+            key, doc, place, raw, chunks, stands = (v[small] for v in (key, doc, place, raw, chunks, stands))
+            yield from _met(linker.candidates((key,), doc, place, chunks, stands), key, doc, place, stands, raw)
         yield from _gathered(copies, size)
 
     return run
@@ -420,77 +464,75 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _by_blocks(size: int, block: int):
-    """The candidates of pairs of blocks: (key, x, y, own, id, place, stands, context), sorted."""
+    """What ``_met`` has of pairs of blocks: (key, x, y, own, id, place, stands, context), sorted."""
     linker = Linker(size, block)
 
     def run(batches):
         for cols in whole(batches, 3):
             key, x, y, own, doc, place = (np.asarray(c) for c in cols[:6])
             stands = np.asarray(cols[6]).astype(np.uint16)
-            chunks = _unpacked(raw_bytes(cols[7], lower=False)[0].reshape(len(key), -1))
-            one = x == y
-            yield from _gathered(linker.candidates((key[one], x[one]), doc[one], place[one], chunks[one], stands[one]), size)
-            two = ~one
-            yield from _gathered(linker.candidates((key[two], x[two], y[two]), doc[two], place[two], chunks[two], stands[two], own[two]), size)
+            raw = raw_bytes(cols[7], lower=False)[0].reshape(len(key), -1)
+            # all pairs within a block, those of two blocks else
+            own = np.where(x == y, np.arange(len(x)), own)
+            yield from _met(linker.candidates((key, x, y), doc, place, _unpacked(raw), stands, (own,)), key, doc, place, stands, raw)
 
     return run
 
 
-def _stretches(size: int, over: int):
-    """Of links (a, b, diag, lo, hi, exact), sorted by all but the last two: those of one
-    diagonal whose runs touch as one, exact and near apart, without the near ones that an
-    exact one covers but for ``over`` starts (that much says nothing new)."""
-
-    def joined(lo, hi, gap):
-        """Groups of intervals that come sorted by ``lo``."""
-        top = np.maximum.accumulate(hi)
-        new = np.ones(len(lo), bool)
-        new[1:] = lo[1:] > top[:-1] + gap
-        at = np.flatnonzero(new)
-        return lo[at], np.maximum.reduceat(hi, at)
-
-    def run(batches):
-        for cols in whole(batches, 3, 1 << 16):
-            a, b, diag, lo, hi, exact = (np.asarray(c.cast(pa.int64()) if k < 5 else c) for k, c in enumerate(cols))
-            head = heads(a, b, diag)[:-1]
-            group = np.cumsum(np.isin(np.arange(len(a)), head)) - 1
-            # places of different groups far from one another
-            far = int(hi.max() - min(lo.min(), 0)) + 4 * size
-            lo, hi = lo + group * far, hi + group * far
-            sure, near = np.flatnonzero(exact), np.flatnonzero(~exact)
-            parts = []
-            if len(sure):
-                x, y = joined(lo[sure], hi[sure], size)
-                parts.append((x, y, True))
-                at = np.searchsorted(x - over, lo[near], side="right") - 1
-                near = near[(at < 0) | (hi[near] > y[np.maximum(at, 0)] + over) | (lo[near] // far != x[np.maximum(at, 0)] // far)]
-            if len(near):
-                parts.append((*joined(lo[near], hi[near], size), False))
-            for x, y, is_exact in parts:
-                g = (x + 2 * size) // far
-                i = head[g]
-                x, y = x - g * far, y - g * far
-                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[i]), *[pa.array(v.astype(np.int32)) for v in (diag[i], x, y)], pa.array(np.full(len(i), is_exact))], ["a", "b", "diag", "lo", "hi", "exact"])
-
-    return run
+def _joined(lo, hi, gap):
+    """Groups of intervals that come sorted by ``lo``."""
+    top = np.maximum.accumulate(hi)
+    new = np.ones(len(lo), bool)
+    new[1:] = lo[1:] > top[:-1] + gap
+    at = np.flatnonzero(new)
+    return lo[at], np.maximum.reduceat(hi, at)
+
+
+def _stretches(a, b, diag, lo, hi, exact, size: int, over: int):
+    """Of links those of one diagonal whose runs touch as one, exact and near apart,
+    without the near ones that an exact one covers but for ``over`` starts (that much
+    says nothing new): (a, b, diag, lo, hi) of the exact, and of the near."""
+    order = np.lexsort((lo, diag, b, a))
+    a, b, diag, lo, hi, exact = (v[order] for v in (a, b, diag, lo, hi, exact))
+    at = heads(a, b, diag)
+    head, group = at[:-1], np.repeat(np.arange(len(at) - 1), np.diff(at))
+    # places of different groups far from one another
+    far = int(hi.max() - min(lo.min(), 0)) + 4 * size
+    lo, hi = lo + group * far, hi + group * far
+    sure, near = np.flatnonzero(exact), np.flatnonzero(~exact)
+    none = np.zeros(0, np.int64)
+    (x, y), (p, q) = (_joined(lo[k], hi[k], size) if len(k) else (none, none) for k in (sure, near))
+    if len(x) and len(p):
+        at = np.maximum(np.searchsorted(x - over, p, side="right") - 1, 0)
+        fresh = (p < x[at] - over) | (q > y[at] + over)
+        p, q = p[fresh], q[fresh]
+    for x, y in ((x, y), (p, q)):
+        g = (x + 2 * size) // far
+        i = head[g]
+        yield a[i], b[i], diag[i], x - g * far, y - g * far
 
 
 def _runs(n: int, size: int):
-    """Of (id, text, [(w, more)]): (id, w, more, start, run) with the 32-bit hashes
-    of ``size`` + ``more`` tokens from ``w`` on; from ``start`` on where the text
-    begins after or ends before."""
+    """Of (id, text, places of minima): (id, w, more, start, run) with the 32-bit hashes
+    of ``size`` + ``more`` tokens from ``w`` on; from ``start`` on where the text ends
+    before.  What the runs about two places have in common comes once."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         tokens, row, _ = shingles(Words(batch.column(1)), n)
         tokens = (mix(tokens) >> _U(32)).astype(np.uint32)
         first = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        w, more = (np.asarray(x).astype(np.int64) for x in batch.column(2).flatten().flatten())
+        c = np.asarray(batch.column(2).flatten()).astype(np.int64)
         r = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column(2))))
-        room = first[r + 1] - first[r] - size
-        ok = room >= 0
+        ok = first[r + 1] - first[r] >= size
         if not ok.any():
             return None
-        r, w, more, room = r[ok], w[ok], more[ok], room[ok]
+        r, c = r[ok], c[ok]
+        # places of different texts far from one another
+        far = int(c.max()) + 4 * size
+        last = np.sort(c + r * far)
+        w, last = _joined(last - size + 1, last, size)
+        r, more = last // far, last - w
+        w, room = np.maximum(w - r * far, 0), first[r + 1] - first[r] - size
         start = np.clip(w, 0, room)
         count = size + np.minimum(more, room - start)
         off = np.concatenate([[0], np.cumsum(count)])
@@ -547,85 +589,185 @@ def _longest(x: np.ndarray, y: np.ndarray, starts: np.ndarray, size: int, thresh
             yield from _longest(x, y, half, size, threshold)
 
 
-def _verified(a, b, diag, sa, sb, runs_a, runs_b, size: int, words: int, threshold: float):
-    """Of pairs of stretches every passage: (pair, start_a, end_a, start_b, end_b, Jaccard)."""
-    na, nb = (np.array([len(v) for v in r]) for r in (runs_a, runs_b))
+def _aligned(x: np.ndarray, y: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
+    """``_jaccards`` of stretches none of which has a token twice: what agrees in place is
+    counted, and only the rest is looked up."""
+    pair = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    same = np.concatenate([[0], np.cumsum(x == y)])
+    rest = np.flatnonzero(x != y)
+    kx, ky = (pair[rest].astype(_U) << _U(32) | v[rest] for v in (x, y))
+    ox, oy = np.argsort(kx), np.argsort(ky)
+    at = np.minimum(np.searchsorted(ky[oy], kx[ox]), max(len(oy) - 1, 0))
+    hit = np.flatnonzero(ky[oy][at] == kx[ox]) if len(rest) else np.zeros(0, np.int64)
+    i, j = rest[ox[hit]], rest[oy[at[hit]]]
+    lo, hi = np.maximum(np.maximum(i, j) - size + 1, off[pair[i]]), np.minimum(np.minimum(i, j), off[pair[i] + 1] - size)
+    lo, hi = lo[lo <= hi], hi[lo <= hi]
+    both = np.cumsum(np.bincount(lo, minlength=len(x) + 1) - np.bincount(hi + 1, minlength=len(x) + 1))[: len(x)]
+    start = np.arange(len(x))
+    both = both + same[np.minimum(start + size, len(x))] - same[:-1]
+    return np.where(start <= off[pair + 1] - size, both / (2 * size - both), 0)
+
+
+def _repeated(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of every token the place before where its run has it, or -1."""
+    out = np.full(len(tokens), -1)
+    for k in np.split(np.arange(len(off) - 1), heads(off[1:] // _AT_ONCE)[1:-1]):
+        base, end = off[k[0]], off[k[-1] + 1]
+        key = np.repeat(k.astype(_U), np.diff(off[k[0] : k[-1] + 2])) << _U(32) | tokens[base:end]
+        order = np.argsort(key, kind="stable")
+        again = np.flatnonzero(key[order][1:] == key[order][:-1])
+        out[base + order[again + 1]] = base + order[again]
+    return out
+
+
+def _verified(diag, sa, sb, at_a, at_b, na, nb, tokens, before, size: int, words: int, threshold: float):
+    """Of pairs of stretches, of ``na`` and ``nb`` tokens from ``at_a`` and ``at_b`` on,
+    every passage: (pair, start_a, end_a, start_b, end_b, Jaccard)."""
     # on one diagonal, where the texts' ends leave a run of it
     at = np.maximum(sa, sb - diag)
     fit = np.minimum(na - (at - sa), nb - (at + diag - sb)) >= size
     da, db = np.where(fit, at - sa, 0), np.where(fit, at + diag - sb, 0)
     n = np.minimum(na - da, nb - db)
     off = np.concatenate([[0], np.cumsum(n)])
-    x = np.concatenate([r[d : d + m] for r, d, m in zip(runs_a, da.tolist(), n.tolist())])
-    y = np.concatenate([r[d : d + m] for r, d, m in zip(runs_b, db.tolist(), n.tolist())])
-    good = np.flatnonzero(np.round(_jaccards(x, y, off, size), 6) >= threshold)
-    own = np.searchsorted(off, good, side="right") - 1
-    for part in np.split(good, np.flatnonzero((np.diff(good) > size) | (np.diff(own) > 0)) + 1) if len(good) else []:
-        k = int(np.searchsorted(off, part[0], side="right")) - 1
+    own = np.repeat(np.arange(len(n)), n)
+    i, j = (np.arange(off[-1]) + np.repeat(v - off[:-1], n) for v in (at_a + da, at_b + db))
+    x, y = tokens[i], tokens[j]
+    twice = np.logical_or.reduceat((before[i] >= (at_a + da)[own]) | (before[j] >= (at_b + db)[own]), off[:-1])
+    value = np.zeros(len(x))
+    for kind, count in ((~twice, _aligned), (twice, _jaccards)):
+        if kind.any():
+            of = kind[own]
+            value[of] = count(x[of], y[of], np.concatenate([[0], np.cumsum(n[kind])]), size)
+    good = np.flatnonzero(np.round(value, 6) >= threshold)
+    for part in np.split(good, np.flatnonzero((np.diff(good) > size) | (np.diff(own[good]) > 0)) + 1) if len(good) else []:
+        k = int(own[part[0]])
         s, e = off[k], off[k + 1]
-        i, j = int(sa[k] + da[k]), int(sb[k] + db[k])
-        for p, q, v in _longest(x[s:e], y[s:e], part - s, size, threshold):
-            yield k, i + p, i + q + words, j + p, j + q + words, v
-
+        p, q = int(sa[k] + da[k]), int(sb[k] + db[k])
+        for first, last, v in _longest(x[s:e], y[s:e], part - s, size, threshold):
+            yield k, p + first, p + last + words, q + first, q + last + words, v
+
+
+class Runs:
+    """Tokens of documents by (id, start); a run that comes for several block pairs counts once."""
+
+    def __init__(self, doc, start, runs):
+        self.data, off = raw_bytes(runs, lower=False)
+        self.data, off = self.data.view(np.uint32), off // 4
+        self.before = _repeated(self.data, off)
+        order = np.lexsort((start, doc))
+        self.doc, self.start, self.at, self.n = doc[order], start[order], off[:-1][order], np.diff(off)[order]
+        self.ids = np.unique(doc)
+        self.key = np.searchsorted(self.ids, self.doc) << 40 | self.start
+
+    def find(self, doc, lo, more, size):
+        """(is there any, start, where it is in ``data``, tokens) of runs that start from ``lo`` on."""
+        of = np.minimum(np.searchsorted(self.ids, doc), len(self.ids) - 1)
+        k = np.maximum(np.searchsorted(self.key, of << 40 | np.maximum(lo, 0), side="right") - 1, 0)
+        start = np.clip(lo, self.start[k], self.start[k] + self.n[k] - size)
+        n = size + np.minimum(more, self.start[k] + self.n[k] - size - start)
+        return self.doc[k] == doc, start, self.at[k] + start - self.start[k], n
+
+
+def _settle(size: int, words: int, threshold: float, block: int, part: int, each: bool):
+    """Of block pairs (root, x, y, own, and the columns of ``_FOUND``) every passage, or,
+    unless ``each``, of every document the number it's linked with and the ranges, and of
+    every link, as far as it joins any, the ends.  Links are made here, of ``part``
+    documents with as many at a time, and go no further."""
+    linker = Linker(size, block)
+    over = int(size * (1 - threshold) / (1 + threshold) + 1e-9)
 
-def _settle(size: int, words: int, threshold: float, each: bool):
-    """Of block pairs (root, x, y, a, b, diag, lo, hi, start, run) - runs are the rows
-    without ``b``, exact stretches those without ``run`` and with ``start`` 1 - every
-    passage, or, unless ``each``, of every document the number it's linked with and
-    the ranges, and of every link, as far as it joins any, the ends."""
+    def parts(group, own, doc, e_group, e_a, e_b):
+        """(records, what those of a pair differ in, exact links): of small groups many at
+        once, of large ones the pairs of two parts; every pair of documents comes once."""
+        # documents of a group by number, and the part of each
+        every = np.stack([np.concatenate(v) for v in ((group, e_group, e_group), (doc, e_a, e_b))])
+        if not every.size:
+            return
+        order = np.lexsort(every[::-1])
+        at = heads(*every[:, order])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        g = every[0, order][at[:-1]]
+        count = np.bincount(g)
+        of = ((np.arange(len(g)) - np.searchsorted(g, g)) // part)[rank]
+        mine, ea, eb = np.split(of, [len(doc), len(doc) + len(e_a)])
+        cost = count * (np.bincount(group, minlength=len(count)) + 1)
+        lot = np.cumsum(np.where(count <= part, cost, 0)) // _AT_ONCE
+        lot[count > part] = -1
+        for h in np.unique(lot[lot >= 0]).tolist():
+            i, k = np.flatnonzero(lot[group] == h), np.flatnonzero(lot[e_group] == h)
+            yield i, (own[i],), k
+        for h in np.flatnonzero(count > part).tolist():
+            i, k = np.flatnonzero(group == h), np.flatnonzero(e_group == h)
+            subs = -(-int(count[h]) // part)
+            rows = [i[mine[i] == p] for p in range(subs)]
+            code = np.minimum(ea[k], eb[k]) * subs + np.maximum(ea[k], eb[k])
+            k, code = k[np.argsort(code, kind="stable")], np.sort(code)
+            for p in range(subs):
+                for q in range(p, subs):
+                    both = np.sort(np.concatenate([rows[p], rows[q]])) if q > p else rows[p]
+                    exact = k[np.searchsorted(code, p * subs + q) : np.searchsorted(code, p * subs + q, side="right")]
+                    yield both, (mine[both], own[both])[p == q :], exact
 
     def found(cols):
-        a, diag, lo, hi, start = (np.asarray(pc.fill_null(cols[k], 0)).astype(np.int64) for k in (3, 5, 6, 7, 8))
-        pair = np.asarray(cols[4].is_valid())
-        b = np.asarray(pc.fill_null(cols[4], 0))
-        sure = np.flatnonzero(pair & (start == 1))
-        for k in range(0, len(sure), 1 << 16):
-            i = sure[k : k + (1 << 16)]
-            yield a[i], b[i], lo[i], hi[i] + words, lo[i] + diag[i], hi[i] + diag[i] + words, np.ones(len(i))
-        near, run = np.flatnonzero(pair & (start == 0)), np.flatnonzero(~pair)
-        if not len(near) or not len(run):
-            return
-        data, off = raw_bytes(cols[9], lower=False)
+        kind = np.asarray(cols[4])
+        number = lambda k, at: np.asarray(pc.fill_null(cols[k].take(pa.array(at)), 0)).astype(np.int64)
         group = np.repeat(np.arange(len(at := heads(*(np.asarray(c) for c in cols[:3]))) - 1), np.diff(at))
-        # of a run: its block pair, document, first start asked for and length
-        name = lambda i, doc, w: np.stack([group[i], doc, w, hi[i] - lo[i]], axis=1)
-        every = np.concatenate([name(run, a[run], lo[run]), name(near, a[near], lo[near]), name(near, b[near], lo[near] + diag[near])])
-        _, code = np.unique(every, axis=0, return_inverse=True)
-        code = code.ravel()
-        row = np.full(code.max() + 1, -1)
-        row[code[: len(run)]] = run
-        i, j = row[code[len(run) : len(run) + len(near)]], row[code[len(run) + len(near) :]]
-        ok = (i >= 0) & (j >= 0)
-        near, i, j = near[ok], i[ok], j[ok]
-        token = lambda k: data[off[k] : off[k + 1]].view(np.uint32)
-        for k in range(0, len(near), 2048):
-            p, q, r = near[k : k + 2048], i[k : k + 2048], j[k : k + 2048]
-            got = list(_verified(a[p], b[p], diag[p], start[q], start[r], [token(v) for v in q.tolist()], [token(v) for v in r.tolist()], size, words, threshold))
-            if got:
-                which, *places, value = (np.array(v) for v in zip(*got))
-                yield a[p][which], b[p][which], *places, value
+        one = np.asarray(cols[1]) == np.asarray(cols[2])
+        # all pairs within a block, those of two blocks else
+        own = np.where(one, -1 - np.arange(len(one)), np.asarray(pc.fill_null(cols[3], 0)))
+        run, row, sure = (np.flatnonzero(kind == k) for k in (_RUN, _ROW, _EXACT))
+        doc, key, place = (number(k, row) for k in (5, 6, 7))
+        # pairs of blocks of a large group have a record several times
+        order = np.lexsort((place, doc, key, group[row]))
+        order = order[heads(*(v[order] for v in (group[row], key, doc, place)))[:-1]] if len(row) else order
+        row, doc, key, place = row[order], doc[order], key[order], place[order]
+        a, b, diag, lo, hi = (number(k, sure) for k in (5, 6, 7, 8, 9))
+        runs = Runs(number(5, run), number(7, run), cols[10].take(pa.array(run))) if len(run) else None
+        stands = number(8, row).astype(np.uint16)
+        chunks = _unpacked(raw_bytes(cols[10].take(pa.array(row)), lower=False)[0].reshape(len(row), 3 * _SIDE))
+        for i, apart, k in parts(group[row], own[row], doc, group[sure], a, b):
+            links = [(a[k], b[k], diag[k], lo[k], hi[k])]
+            links += [linker.near(doc[i], place[i], p, q) for p, q in linker.candidates((group[row][i], key[i]), doc[i], place[i], chunks[i], stands[i], apart)]
+            exact = np.arange(sum(len(x[0]) for x in links)) < len(k)
+            if not len(exact):
+                continue
+            certain, near = _stretches(*(np.concatenate(x) for x in zip(*links)), exact, size, over)
+            got = [(*certain[:2], certain[3], certain[4] + words, certain[3] + certain[2], certain[4] + certain[2] + words, np.ones(len(certain[0])))]
+            length = np.cumsum(near[4] - near[3] + size) // _AT_ONCE if runs else near[0][:0]
+            for s in np.split(np.arange(len(length)), heads(length)[1:-1]) if len(length) else []:
+                u, v, d, x, y = (c[s] for c in near)
+                (ok, sa, at_a, na), (ok_b, sb, at_b, nb) = runs.find(u, x, y - x, size), runs.find(v, x + d, y - x, size)
+                ok = np.flatnonzero(ok & ok_b)
+                if not len(ok):
+                    continue
+                u, v, *rest = (c[ok] for c in (u, v, d, sa, sb, at_a, at_b, na, nb))
+                if passages := list(_verified(*rest, runs.data, runs.before, size, words, threshold)):
+                    which, *places, value = (np.array(c) for c in zip(*passages))
+                    got.append((u[which], v[which], *places, value))
+            yield tuple(np.concatenate(c) for c in zip(*got))
 
     def run(batches):
         for cols in whole(batches, 3, 1 << 14):
-            parts = list(found(cols))
-            if not parts:
-                continue
-            a, b, *places, value = (np.concatenate(v) for v in zip(*parts))
-            if each:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.array(v.astype(np.int32)) for v in places], pa.array(value)], NAMES)
-                continue
-            # a pair is in one block pair only, so these counts add up
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            docs, links = np.unique(pairs, return_counts=True)
-            yield _partial("links", docs, links)
-            doc, lo, hi = (np.concatenate(v) for v in ((a, b), places[::2], places[1::2]))
-            order = np.lexsort((hi, lo, doc))
-            doc, lo, hi = doc[order], lo[order], hi[order]
-            of = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * (int(hi.max()) + 2)
-            top = np.maximum.accumulate(hi + of)
-            at = np.flatnonzero(np.concatenate([[True], (lo + of)[1:] > top[:-1]]))
-            yield _partial("range", doc[at], lo[at], np.maximum.reduceat(hi + of, at) - of[at])
-            yield _partial("join", *contract(pairs[:, 0], pairs[:, 1]))
+            for a, b, *places, value in found(cols):
+                if not len(a):
+                    continue
+                if each:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.array(v.astype(np.int32)) for v in places], pa.array(value)], NAMES)
+                    continue
+                # a pair is in one part only, so these counts add up
+                pairs = np.stack([a, b], axis=1)[np.lexsort((b, a))]
+                pairs = pairs[heads(*pairs.T)[:-1]]
+                docs, links = np.unique(pairs, return_counts=True)
+                yield _partial("links", docs, links)
+                doc, lo, hi = (np.concatenate(v) for v in ((a, b), places[::2], places[1::2]))
+                order = np.lexsort((hi, lo, doc))
+                doc, lo, hi = doc[order], lo[order], hi[order]
+                of = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * (int(hi.max()) + 2)
+                top = np.maximum.accumulate(hi + of)
+                at = np.flatnonzero(np.concatenate([[True], (lo + of)[1:] > top[:-1]]))
+                yield _partial("range", doc[at], lo[at], np.maximum.reduceat(hi + of, at) - of[at])
+                yield _partial("join", *contract(pairs[:, 0], pairs[:, 1]))
 
     return run
 
@@ -641,7 +783,7 @@ SCHEMA = "doc_a bigint, doc_b bigint, start_a int, end_a int, start_b int, end_b
 
 def _placed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, n: int = 5, hashes: int = 2,
-    threshold: float = 0.8, block: int = 2048, block_tokens: int = 4_000_000, max_broadcast: int = 2_000_000, each: bool = True,
+    threshold: float = 0.8, block: int = 2048, block_tokens: int = 4_000_000, max_broadcast: int = 2_000_000, part: int = 256, each: bool = True,
 ) -> DataFrame:
     size = min_words - n + 1
     if not 1 <= size <= _SURE * _CHUNK:
@@ -658,36 +800,32 @@ def _placed(
     found = slim.mapInArrow(per_batch(find), "key bigint, id bigint, place bigint, context binary")
     met = found.repartition("key").sortWithinPartitions("key", "context", "id", "place")
     apart = met.mapInArrow(_by_key(size, block, True), _APART).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id", "place")
-    links = met.mapInArrow(_by_key(size, block, False), _LINKS).unionByName(apart.mapInArrow(_by_blocks(size, block), _LINKS))
-    over = int(size * (1 - threshold) / (1 + threshold) + 1e-9)
-    links = links.repartition("a", "b", "diag").sortWithinPartitions("a", "b", "diag", "lo").mapInArrow(_stretches(size, over), _LINKS)
-    links = stored(links)
+    got = stored(met.mapInArrow(_by_key(size, block, False), _FOUND).unionByName(apart.mapInArrow(_by_blocks(size, block), _FOUND)))
+    rows = got.where(F.col("kind") == _ROW).withColumnRenamed("p", "id")
+    exact = got.where(F.col("kind") == _EXACT)
 
     # only the runs that are to be compared leave the texts, as hashes of their tokens
-    at = lambda w: F.struct(w.cast("int").alias("w"), (F.col("hi") - F.col("lo")).alias("more"))
-    near = links.where("not exact")
-    ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), at(F.col("lo")).alias("at")), F.struct(F.col("b").alias("id"), at(F.col("lo") + F.col("diag")).alias("at")))).alias("e")).select("e.*")
-    wanted = stored(ends.distinct().groupBy("id").agg(F.collect_list("at").alias("at")))
+    wanted = stored(rows.select("id", F.shiftright("r", 8).cast("int").alias("at")).groupBy("id").agg(F.collect_set("at").alias("at"), F.count(F.lit(1)).alias("records")))
     cut, schema = _runs(n, size)
     # rows that repeat an id are one document: of other texts, the one whose run is least
-    runs = some(slim, wanted, max_broadcast, F.size("at") + 1).select("id", "text", "at").mapInArrow(cut, schema)
-    runs = stored(runs.groupBy("id", "w", "more").agg(F.min(F.struct("start", "run")).alias("r")).select("id", "w", "more", "r.start", "r.run"))
+    runs = some(slim, wanted.drop("records"), max_broadcast, F.size("at") + 1).select("id", "text", "at").mapInArrow(cut, schema)
+    runs = stored(runs.groupBy("id", "w", "more").agg(F.min(F.struct("start", "run")).alias("r")).select("id", "more", "r.start", "r.run"))
 
-    # every component in blocks of about ``block_tokens``; a run goes once to each pair of blocks that it is in
-    root = components(links, "a", "b")
+    # every component in blocks of about ``block_tokens``; runs and records go once to each pair of blocks that they are in
+    root = components(got.where(F.col("kind") >= _EXACT), "p", "q")
     root = root.unionByName(root.select(F.col("root").alias("id"), "root").distinct())
-    tokens = runs.groupBy("id").agg(F.sum(size + F.col("more")).alias("tokens"))
-    sized = root.join(tokens, "id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)) + 16)
+    tokens = runs.groupBy("id").agg(F.sum(size + F.col("more")).alias("tokens")).join(wanted.select("id", "records"), "id")
+    sized = root.join(tokens, "id", "left").withColumn("tokens", F.coalesce(F.col("tokens") + 64 * F.col("records"), F.lit(0)) + 16)
     blocks = sized.groupBy("root").agg(F.ceil(F.sum("tokens") / block_tokens).cast("int").alias("blocks"))
     sized = stored(sized.join(blocks, "root").select("id", "root", "blocks", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int").alias("own")))
     to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("x"), F.greatest("own", k).alias("y")))
     none = F.lit(None)
-    moved = runs.join(sized, "id").select("root", F.explode(to).alias("to"), F.col("id").alias("a"), "w", "more", "start", "run")
-    moved = moved.select("root", "to.x", "to.y", "a", none.cast("bigint").alias("b"), none.cast("int").alias("diag"), F.col("w").alias("lo"), (F.col("w") + F.col("more")).alias("hi"), "start", "run")
-    pairs = links.join(sized.select(F.col("id").alias("a"), "root", F.col("own").alias("p")), "a").join(sized.select(F.col("id").alias("b"), F.col("own").alias("q")), "b")
-    pairs = pairs.select("root", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "a", "b", "diag", "lo", "hi", F.col("exact").cast("int").alias("start"), none.cast("binary").alias("run"))
+    runs = runs.select(F.lit(_RUN).alias("kind"), "id", none.cast("bigint").alias("q"), F.col("start").cast("bigint").alias("r"), none.cast("int").alias("lo"), none.cast("int").alias("hi"), F.col("run").alias("data"))
+    moved = rows.unionByName(runs).join(sized, "id").withColumn("to", F.explode(to)).select("root", "to.x", "to.y", "own", "kind", F.col("id").alias("p"), "q", "r", "lo", "hi", "data")
+    pairs = exact.join(sized.select(F.col("id").alias("p"), "root", F.col("own").alias("m")), "p").join(sized.select(F.col("id").alias("q"), F.col("own").alias("n")), "q")
+    pairs = pairs.select("root", F.least("m", "n").alias("x"), F.greatest("m", "n").alias("y"), none.cast("int").alias("own"), "kind", "p", "q", "r", "lo", "hi", "data")
     placed = moved.unionByName(pairs).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
-    return placed.mapInArrow(_settle(size, min_words, threshold, each), SCHEMA if each else "kind string, doc_id bigint, x bigint, y bigint")
+    return placed.mapInArrow(_settle(size, min_words, threshold, block, part, each), SCHEMA if each else "kind string, doc_id bigint, x bigint, y bigint")
 
 
 def passages(docs: DataFrame, **options) -> DataFrame:
@@ -695,7 +833,7 @@ def passages(docs: DataFrame, **options) -> DataFrame:
 
     The ids and starts of runs to be compared are broadcast up to ``max_broadcast``
     values (counted first); more are joined by a shuffle.  ``options`` are those of
-    ``_placed``: id_col, text_col, min_words, n, hashes, threshold, block, block_tokens.
+    ``_placed``: id_col, text_col, min_words, n, hashes, threshold, block, block_tokens, part.
     """
     return _placed(docs, **options)
 

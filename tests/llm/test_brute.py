@@ -311,6 +311,42 @@ def test_links_of_runs_that_one_document_has_both_of(spark):
     assert any(x["start_b"] - x["start_a"] == -5 and x["start_a"] < 180 < x["end_a"] for x in got)
 
 
+def near_copies(n, seed):
+    """Copies of one passage, each with an edit of its own."""
+    r = random.Random(seed)
+    passage, out = r.choices(VOCAB, k=70), []
+    for k in range(n):
+        part = list(passage)
+        at = r.randrange(70)
+        part[at : at + 1] = r.choice([[f"changed{k}"], [], [part[at], f"added{k}"]])
+        out.append(" ".join(r.choices(VOCAB, k=20) + part + r.choices(VOCAB, k=20)))
+    return out
+
+
+def test_links_do_not_leave_their_task(spark, monkeypatch):
+    """Twice the near copies have four times the links, but what is stored on the way only doubles."""
+    kept, rows, links = compact_windows.stored, [], []
+
+    def counted(df):
+        out = kept(df)
+        rows[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(compact_windows, "stored", counted)
+    for n in (80, 160):
+        rows.append(0)
+        links.append(sum(x["links"] for x in compact_windows.repeats(frame(spark, near_copies(n, 13))).collect()))
+    assert links[1] > 3.5 * links[0] and rows[1] < 2.6 * rows[0]
+
+
+def test_parts_and_blocks_of_documents_give_the_same(spark):
+    docs = frame(spark, near_copies(60, 14) + near_copies(9, 15) + [" ".join(R.choices(VOCAB, k=90))] * 3)
+    whole, parts, blocks = (sorted(tuple(x) for x in compact_windows.passages(docs, **o).collect()) for o in ({}, {"part": 7}, {"part": 7, "block": 11, "block_tokens": 9000}))
+    assert whole == parts == blocks and len({x[:2] for x in whole}) > 1000
+    whole, blocks = (sorted(tuple(x) for x in compact_windows.repeats(docs, **o).collect()) for o in ({}, {"part": 7, "block_tokens": 9000}))
+    assert whole == blocks
+
+
 # --- op 5
 
 
