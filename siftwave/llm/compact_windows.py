@@ -589,23 +589,61 @@ def _longest(x: np.ndarray, y: np.ndarray, starts: np.ndarray, size: int, thresh
             yield from _longest(x, y, half, size, threshold)
 
 
-def _aligned(x: np.ndarray, y: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
-    """``_jaccards`` of stretches none of which has a token twice: what agrees in place is
-    counted, and only the rest is looked up."""
+def _passages(value: np.ndarray, off: np.ndarray, size: int, threshold: float):
+    """(starts that reach the threshold, pair of each, where those of a passage begin, and end)."""
+    good = np.flatnonzero(np.round(value, 6) >= threshold)
+    pair = np.searchsorted(off, good, side="right") - 1
+    cut = np.flatnonzero((np.diff(good) > size) | (np.diff(pair) > 0)) + 1
+    return good, pair, np.append(0, cut)[: len(good)], np.append(cut, len(good))[: len(good)]
+
+
+def _of_any(x: np.ndarray, y: np.ndarray, off: np.ndarray, size: int, threshold: float):
+    """(pair, first start, last start, Jaccard) of the passages of pairs of stretches."""
+    good, pair, begin, end = _passages(_jaccards(x, y, off, size), off, size, threshold)
+    out = []
+    for k, i, j in zip(pair[begin].tolist(), begin.tolist(), end.tolist()):
+        s, e = off[k], off[k + 1]
+        out += [(k, *passage) for passage in _longest(x[s:e], y[s:e], good[i:j] - s, size, threshold)]
+    return [np.array(v) for v in zip(*out)]
+
+
+def _of_distinct(x: np.ndarray, y: np.ndarray, off: np.ndarray, size: int, threshold: float):
+    """The same of stretches none of which has a token twice: what agrees in place is
+    counted, only the rest is looked up, and all passages are halved at once."""
     pair = np.repeat(np.arange(len(off) - 1), np.diff(off))
     same = np.concatenate([[0], np.cumsum(x == y)])
     rest = np.flatnonzero(x != y)
     kx, ky = (pair[rest].astype(_U) << _U(32) | v[rest] for v in (x, y))
     ox, oy = np.argsort(kx), np.argsort(ky)
     at = np.minimum(np.searchsorted(ky[oy], kx[ox]), max(len(oy) - 1, 0))
-    hit = np.flatnonzero(ky[oy][at] == kx[ox]) if len(rest) else np.zeros(0, np.int64)
+    hit = np.flatnonzero(ky[oy][at] == kx[ox])
+    # a token that both have, in other places: the lower and the higher
     i, j = rest[ox[hit]], rest[oy[at[hit]]]
-    lo, hi = np.maximum(np.maximum(i, j) - size + 1, off[pair[i]]), np.minimum(np.minimum(i, j), off[pair[i] + 1] - size)
+    low, high = np.minimum(i, j), np.maximum(i, j)
+    order = np.argsort(low)
+    low, high = low[order], high[order]
+    lo, hi = np.maximum(high - size + 1, off[pair[low]]), np.minimum(low, off[pair[low] + 1] - size)
     lo, hi = lo[lo <= hi], hi[lo <= hi]
     both = np.cumsum(np.bincount(lo, minlength=len(x) + 1) - np.bincount(hi + 1, minlength=len(x) + 1))[: len(x)]
     start = np.arange(len(x))
     both = both + same[np.minimum(start + size, len(x))] - same[:-1]
-    return np.where(start <= off[pair + 1] - size, both / (2 * size - both), 0)
+    good, of, begin, end = _passages(np.where(start <= off[pair + 1] - size, both / (2 * size - both), 0), off, size, threshold)
+    out = []
+    while len(begin):
+        s, last = good[begin], good[end - 1]
+        first, e = np.searchsorted(low, s), last + size
+        many = np.searchsorted(low, e) - first
+        k = np.repeat(np.arange(len(s)), many)
+        at = np.arange(len(k)) + np.repeat(first - np.cumsum(many) + many, many)
+        both = same[e] - same[s] + np.bincount(k[high[at] < e[k]], minlength=len(s))
+        value = np.round(both / (2 * (e - s) - both), 6)
+        done = (value >= threshold) | (end - begin == 1)
+        k = of[begin[done]]
+        out.append((k, s[done] - off[k], last[done] - off[k], value[done]))
+        begin, end = begin[~done], end[~done]
+        half = begin + (end - begin) // 2
+        begin, end = np.concatenate([begin, half]), np.concatenate([half, end])
+    return [np.concatenate(v) for v in zip(*out)]
 
 
 def _repeated(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -633,18 +671,14 @@ def _verified(diag, sa, sb, at_a, at_b, na, nb, tokens, before, size: int, words
     i, j = (np.arange(off[-1]) + np.repeat(v - off[:-1], n) for v in (at_a + da, at_b + db))
     x, y = tokens[i], tokens[j]
     twice = np.logical_or.reduceat((before[i] >= (at_a + da)[own]) | (before[j] >= (at_b + db)[own]), off[:-1])
-    value = np.zeros(len(x))
-    for kind, count in ((~twice, _aligned), (twice, _jaccards)):
-        if kind.any():
-            of = kind[own]
-            value[of] = count(x[of], y[of], np.concatenate([[0], np.cumsum(n[kind])]), size)
-    good = np.flatnonzero(np.round(value, 6) >= threshold)
-    for part in np.split(good, np.flatnonzero((np.diff(good) > size) | (np.diff(own[good]) > 0)) + 1) if len(good) else []:
-        k = int(own[part[0]])
-        s, e = off[k], off[k + 1]
-        p, q = int(sa[k] + da[k]), int(sb[k] + db[k])
-        for first, last, v in _longest(x[s:e], y[s:e], part - s, size, threshold):
-            yield k, p + first, p + last + words, q + first, q + last + words, v
+    p, q, out = sa + da, sb + db, []
+    for kind, passages in ((~twice, _of_distinct), (twice, _of_any)):
+        pairs, of = np.flatnonzero(kind), kind[own]
+        if len(pairs) and (got := passages(x[of], y[of], np.concatenate([[0], np.cumsum(n[pairs])]), size, threshold)):
+            k, first, last, value = got
+            k = pairs[k]
+            out.append((k, p[k] + first, p[k] + last + words, q[k] + first, q[k] + last + words, value))
+    return [np.concatenate(v) for v in zip(*out)]
 
 
 class Runs:
@@ -742,8 +776,8 @@ def _settle(size: int, words: int, threshold: float, block: int, part: int, each
                 if not len(ok):
                     continue
                 u, v, *rest = (c[ok] for c in (u, v, d, sa, sb, at_a, at_b, na, nb))
-                if passages := list(_verified(*rest, runs.data, runs.before, size, words, threshold)):
-                    which, *places, value = (np.array(c) for c in zip(*passages))
+                if passages := _verified(*rest, runs.data, runs.before, size, words, threshold):
+                    which, *places, value = passages
                     got.append((u[which], v[which], *places, value))
             yield tuple(np.concatenate(c) for c in zip(*got))
 

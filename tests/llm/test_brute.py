@@ -339,6 +339,24 @@ def test_links_do_not_leave_their_task(spark, monkeypatch):
     assert links[1] > 3.5 * links[0] and rows[1] < 2.6 * rows[0]
 
 
+def test_passages_of_distinct_tokens_as_of_any():
+    r, xs, ys = random.Random(16), [], []
+    for k in range(200):
+        x = np.array(r.sample(range(1 << 32), r.randint(46, 200)), np.uint32)
+        y = x.copy()
+        for _ in range(k % 6):
+            at, n = r.randrange(len(x)), r.randint(1, 9)
+            y[at : at + n] = r.sample(range(1 << 32), len(y[at : at + n]))
+        if k % 3 == 0:  # what follows has moved
+            at = r.randrange(len(x))
+            y[at:] = np.append(np.uint32(k), y[at:-1])
+        xs.append(x)
+        ys.append(y)
+    x, y, off = np.concatenate(xs), np.concatenate(ys), np.concatenate([[0], np.cumsum([len(v) for v in xs])])
+    some, all_ = (sorted(zip(*(v.tolist() for v in f(x, y, off, 46, 0.8)))) for f in (compact_windows._of_distinct, compact_windows._of_any))
+    assert some == all_ and len(all_) > 150
+
+
 def test_parts_and_blocks_of_documents_give_the_same(spark):
     docs = frame(spark, near_copies(60, 14) + near_copies(9, 15) + [" ".join(R.choices(VOCAB, k=90))] * 3)
     whole, parts, blocks = (sorted(tuple(x) for x in compact_windows.passages(docs, **o).collect()) for o in ({}, {"part": 7}, {"part": 7, "block": 11, "block_tokens": 9000}))
