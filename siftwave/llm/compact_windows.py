@@ -288,33 +288,34 @@ class Linker:
             out[order[other[heads(first[other])[:-1]]]] |= 1 << j
         return out
 
-    def candidates(self, group, doc, place, chunks, stands, own=()):
+    def candidates(self, group, doc, place, chunks, stands, own=(), met: _Met | None = None, plain: np.ndarray | None = None):
         """Pairs (i, j) of one group that differ in each of ``own``, that share no exact
-        run but may be one edit apart in runs that they stand for."""
+        run but may be one edit apart in runs that they stand for; but for those that
+        ``met`` has nothing to learn of."""
         at = heads(*group)
         left = np.repeat(at[1:], np.diff(at)) - np.arange(len(doc))
-        full, plain = self._full(place), _plain(chunks, self.size) & stands
-        d, alive = 1, np.flatnonzero(left > 1)
-        while len(alive):
-            for s in range(0, len(alive), 1 << 17):
-                i = alive[s : s + (1 << 17)]
-                i = i[doc[i] != doc[i + d]]
-                for v in own:
-                    i = i[v[i] != v[i + d]]
-                agree = chunks[i] == chunks[i + d]
-                # both beyond their texts isn't agreement
-                bits = np.packbits(agree & (chunks[i] != 0), axis=1).astype(np.int64)
-                bits = bits[:, 0] << 8 | bits[:, 1]
-                near = np.flatnonzero(self.edit[bits] & plain[i] & plain[i + d] | self.same[bits] & stands[i] & stands[i + d])
-                if not len(near):
-                    continue
-                i, (before, after) = i[near], _extent(agree[near])
-                sure = full[i] & (self.runs >= _SIDE - before[:, None]) & (self.runs + _SURE <= _SIDE + after[:, None])
-                i = i[~sure.any(axis=1)]
-                if len(i):
-                    yield i, i + d
-            d += 1
-            alive = alive[left[alive] > d]
+        full, plain = self._full(place), (_plain(chunks, self.size) if plain is None else plain) & stands
+        # every row with those after it in its group, as many rows at once as make about 1 << 17 pairs
+        many = left - 1
+        for s in np.split(np.arange(len(doc)), heads(np.cumsum(many) >> 17)[1:-1]) if len(doc) else []:
+            i = np.repeat(s, many[s])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[s]) - many[s], many[s])
+            for v in (doc, *own):
+                apart = v[i] != v[j]
+                i, j = i[apart], j[apart]
+            if met is not None:
+                fresh = met.open(i, j)
+                i, j = i[fresh], j[fresh]
+            agree = chunks[i] == chunks[j]
+            # both beyond their texts isn't agreement
+            bits = np.packbits(agree & (chunks[i] != 0), axis=1).astype(np.int64)
+            bits = bits[:, 0] << 8 | bits[:, 1]
+            near = np.flatnonzero(self.edit[bits] & plain[i] & plain[j] | self.same[bits] & stands[i] & stands[j])
+            i, j, (before, after) = i[near], j[near], _extent(agree[near])
+            sure = full[i] & (self.runs >= _SIDE - before[:, None]) & (self.runs + _SURE <= _SIDE + after[:, None])
+            sure = sure.any(axis=1)
+            if not sure.all():
+                yield i[~sure], j[~sure]
 
     def near(self, doc, place, i, j):
         """Links of candidates: a run may reach as far from the minimum as it is long."""
@@ -360,24 +361,46 @@ def _gathered(parts, size: int, most: int = 1 << 19):
         yield from _merged(held, size)
 
 
-def _met(pairs, key, doc, place, stands, raw, most: int = 1 << 19):
-    """Of candidates the records that have any, and a forest of their documents: they
-    are as many as the pairs within a group, so they don't leave the task."""
-    used, held, rows = np.zeros(len(doc), bool), [], 0
-    for i, j in pairs:
-        used[i] = used[j] = True
-        held.append((doc[i], doc[j]))
-        rows += len(i)
-        if rows > most:
-            held = [contract(*(np.concatenate(x) for x in zip(*held)))]
-            rows = len(held[0][0])
-            if 2 * rows > most:
-                yield _found(_EDGE, *held[0])
-                held, rows = [], 0
-    if held:
-        yield _found(_EDGE, *contract(*(np.concatenate(x) for x in zip(*held))))
-    if used.any():
-        yield _found(_ROW, doc[used], key[used], place[used], stands[used], None, raw[used])
+class _Met:
+    """Which records have a candidate, and a forest of the documents so far; pairs of
+    records that have one each, of documents that are joined, say nothing new."""
+
+    def __init__(self, doc):
+        self.used = np.zeros(len(doc), bool)
+        self.ids, self.node = np.unique(doc, return_inverse=True)
+        self.root = np.arange(len(self.ids))
+        self.held, self.rows = [], 0
+
+    def open(self, i, j):
+        return ~(self.used[i] & self.used[j]) | (self.root[self.node[i]] != self.root[self.node[j]])
+
+    def add(self, i, j) -> None:
+        self.used[i] = self.used[j] = True
+        self.held.append((self.node[i], self.node[j]))
+        self.rows += len(i)
+        if self.rows > len(self.ids):
+            self.join()
+
+    def join(self) -> None:
+        if self.held:
+            node, to = contract(*(self.root[np.concatenate(x)] for x in zip(*self.held)))
+            new = np.arange(len(self.ids))
+            new[node] = to
+            self.root, self.held, self.rows = new[self.root], [], 0
+
+
+def _met(linker: Linker, group, key, doc, place, stands, raw, own=()):
+    """Of records with candidates the records, and a forest of their documents: the
+    candidates are as many as the pairs within a group, so they don't leave the task."""
+    met = _Met(doc)
+    for i, j in linker.candidates(group, doc, place, _unpacked(raw), stands, own, met):
+        met.add(i, j)
+    met.join()
+    tree = np.flatnonzero(met.root != np.arange(len(met.ids)))
+    if len(tree):
+        yield _found(_EDGE, met.ids[tree], met.ids[met.root[tree]])
+    if met.used.any():
+        yield _found(_ROW, doc[met.used], key[met.used], place[met.used], stands[met.used], None, raw[met.used])
 
 
 def _by_key(size: int, block: int, apart: bool):
@@ -443,8 +466,8 @@ def _by_key(size: int, block: int, apart: bool):
                     yield from _spread(key[x], doc[x], place[x], stands[x], raw[x], block)
                 continue
             small = count <= block
-            key, doc, place, raw, chunks, stands = (v[small] for v in (key, doc, place, raw, chunks, stands))
-            yield from _met(linker.candidates((key,), doc, place, chunks, stands), key, doc, place, stands, raw)
+            key, doc, place, raw, stands = (v[small] for v in (key, doc, place, raw, stands))
+            yield from _met(linker, (key,), key, doc, place, stands, raw)
         yield from _gathered(copies, size)
 
     return run
@@ -474,7 +497,7 @@ def _by_blocks(size: int, block: int):
             raw = raw_bytes(cols[7], lower=False)[0].reshape(len(key), -1)
             # all pairs within a block, those of two blocks else
             own = np.where(x == y, np.arange(len(x)), own)
-            yield from _met(linker.candidates((key, x, y), doc, place, _unpacked(raw), stands, (own,)), key, doc, place, stands, raw)
+            yield from _met(linker, (key, x, y), key, doc, place, stands, raw, (own,))
 
     return run
 
@@ -599,9 +622,12 @@ def _passages(value: np.ndarray, off: np.ndarray, size: int, threshold: float):
 
 def _of_any(x: np.ndarray, y: np.ndarray, off: np.ndarray, size: int, threshold: float):
     """(pair, first start, last start, Jaccard) of the passages of pairs of stretches."""
-    good, pair, begin, end = _passages(_jaccards(x, y, off, size), off, size, threshold)
-    out = []
-    for k, i, j in zip(pair[begin].tolist(), begin.tolist(), end.tolist()):
+    value = _jaccards(x, y, off, size)
+    good, pair, begin, end = _passages(value, off, size, threshold)
+    one = end - begin == 1  # a passage of one run has that run's value
+    k, start = pair[begin[one]].tolist(), good[begin[one]]
+    out = [(k, s, s, round(v, 6)) for k, s, v in zip(k, (start - off[k]).tolist(), value[start].tolist())]
+    for k, i, j in zip(pair[begin[~one]].tolist(), begin[~one].tolist(), end[~one].tolist()):
         s, e = off[k], off[k + 1]
         out += [(k, *passage) for passage in _longest(x[s:e], y[s:e], good[i:j] - s, size, threshold)]
     return [np.array(v) for v in zip(*out)]
@@ -760,9 +786,10 @@ def _settle(size: int, words: int, threshold: float, block: int, part: int, each
         runs = Runs(number(5, run), number(7, run), cols[10].take(pa.array(run))) if len(run) else None
         stands = number(8, row).astype(np.uint16)
         chunks = _unpacked(raw_bytes(cols[10].take(pa.array(row)), lower=False)[0].reshape(len(row), 3 * _SIDE))
+        plain = _plain(chunks, size)
         for i, apart, k in parts(group[row], own[row], doc, group[sure], a, b):
             links = [(a[k], b[k], diag[k], lo[k], hi[k])]
-            links += [linker.near(doc[i], place[i], p, q) for p, q in linker.candidates((group[row][i], key[i]), doc[i], place[i], chunks[i], stands[i], apart)]
+            links += [linker.near(doc[i], place[i], p, q) for p, q in linker.candidates((group[row][i], key[i]), doc[i], place[i], chunks[i], stands[i], apart, plain=plain[i])]
             exact = np.arange(sum(len(x[0]) for x in links)) < len(k)
             if not len(exact):
                 continue
@@ -833,7 +860,9 @@ def _placed(
 
     found = slim.mapInArrow(per_batch(find), "key bigint, id bigint, place bigint, context binary")
     met = found.repartition("key").sortWithinPartitions("key", "context", "id", "place")
-    apart = met.mapInArrow(_by_key(size, block, True), _APART).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id", "place")
+    # by number: what is few bytes may be many comparisons, so Spark mustn't merge parts by their bytes
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    apart = met.mapInArrow(_by_key(size, block, True), _APART).repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id", "place")
     got = stored(met.mapInArrow(_by_key(size, block, False), _FOUND).unionByName(apart.mapInArrow(_by_blocks(size, block), _FOUND)))
     rows = got.where(F.col("kind") == _ROW).withColumnRenamed("p", "id")
     exact = got.where(F.col("kind") == _EXACT)
@@ -858,7 +887,7 @@ def _placed(
     moved = rows.unionByName(runs).join(sized, "id").withColumn("to", F.explode(to)).select("root", "to.x", "to.y", "own", "kind", F.col("id").alias("p"), "q", "r", "lo", "hi", "data")
     pairs = exact.join(sized.select(F.col("id").alias("p"), "root", F.col("own").alias("m")), "p").join(sized.select(F.col("id").alias("q"), F.col("own").alias("n")), "q")
     pairs = pairs.select("root", F.least("m", "n").alias("x"), F.greatest("m", "n").alias("y"), none.cast("int").alias("own"), "kind", "p", "q", "r", "lo", "hi", "data")
-    placed = moved.unionByName(pairs).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+    placed = moved.unionByName(pairs).repartition(tasks, "root", "x", "y").sortWithinPartitions("root", "x", "y")
     return placed.mapInArrow(_settle(size, min_words, threshold, block, part, each), SCHEMA if each else "kind string, doc_id bigint, x bigint, y bigint")
 
 

@@ -339,6 +339,33 @@ def test_links_do_not_leave_their_task(spark, monkeypatch):
     assert links[1] > 3.5 * links[0] and rows[1] < 2.6 * rows[0]
 
 
+def test_pairs_that_say_nothing_new_are_not_compared():
+    """Of near copies of one min-hash, which records have a candidate and what is joined
+    takes far fewer comparisons than there are pairs, and comes out as of all pairs."""
+    r, n = np.random.default_rng(17), 1200
+    chunks = np.tile(r.integers(1, 1 << 12, 16, dtype=np.uint16), (n, 1))
+    chunks[np.arange(n), r.integers(6, 10, n)] = r.integers(1, 1 << 12, n)  # an edit of its own each
+    chunks[-40:] = r.integers(1, 1 << 12, (40, 16))  # like nothing else
+    doc, place, key = np.arange(n), np.full(n, 100 << 8 | 200), np.zeros(n, np.int64)
+    linker, stands = compact_windows.Linker(46, 2048), np.full(n, (1 << 16) - 1, np.uint16)
+    pairs = [np.concatenate(x) for x in zip(*linker.candidates((key,), doc, place, chunks, stands))]
+    compared, met = [], compact_windows._Met
+    counted = type("Counted", (met,), {"open": lambda self, i, j: (fresh := met.open(self, i, j), compared.append(int(fresh.sum())))[0]})
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(compact_windows, "_Met", counted)
+        out = list(compact_windows._met(linker, (key,), key, doc, place, stands, compact_windows._packed(chunks)))
+    kinds = {b.column(0)[0].as_py(): b for b in out}
+    assert set(np.concatenate(pairs).tolist()) == set(kinds[compact_windows._ROW].column(1).to_pylist()) == set(range(n - 40))
+    forest = compact_windows.contract(*(np.asarray(kinds[compact_windows._EDGE].column(k)) for k in (1, 2)))
+    assert all((x == y).all() for x, y in zip(forest, compact_windows.contract(*pairs)))
+    assert sum(compared) < 0.4 * n * n / 2
+
+
+def test_parts_to_compare_are_not_merged_by_their_bytes(spark):
+    plan = compact_windows._placed(frame(spark, near_copies(4, 18)))._jdf.queryExecution().toString()
+    assert re.search(r"hashpartitioning\(root[^)]*\), REPARTITION_BY_NUM", plan)
+
+
 def test_passages_of_distinct_tokens_as_of_any():
     r, xs, ys = random.Random(16), [], []
     for k in range(200):
