@@ -58,7 +58,9 @@ def _articles(spark, sf):
         "doc_id", F.col("id").alias("event_id"), "pubkey", "kind", "created_at", N.month_shard(F.col("created_at")).alias("shard_ym"), words.alias("content"), none.alias("title"),
         none.alias("summary"), F.lit(None).cast("string").alias("first_title"), F.col("content").alias("raw_content"), F.col("truth").alias("lang"), none.alias("tag_t"),
     )
-    w = _world(spark, sf).select("pubkey", "wot_tier")
+    # counted first: by a shuffle, the texts would move by their author, of whom there may be few
+    w = storage.stored(_world(spark, sf).where("wot_tier > 0").select("pubkey", "wot_tier"))
+    w = F.broadcast(w) if w.count() <= 2_000_000 else w
     return d.join(w, "pubkey", "left").withColumn("wot_tier", F.coalesce("wot_tier", F.lit(0)))
 
 

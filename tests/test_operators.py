@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwave.model import EVENT
-from siftwave.operators import documents, reports, scrape, search, trust
+from siftwave.operators import documents, index, reports, scrape, search, trust
 from siftwave.plans.filters import SearchFilter
 from siftwave.sources import archive
 from siftwave.streaming import live
@@ -138,3 +138,22 @@ def test_gold_merge(spark, tmp_path):
     for i, rows in enumerate([[(1, 2)], [(1, 3), (2, 1)], [(1, 3), (2, 1)]]):
         fold(spark.createDataFrame(rows, "kind int, n bigint"), min(i, 1))  # the second batch runs twice
     assert {tuple(r) for r in live.latest(spark, path).collect()} == {(1, 5), (2, 1)}
+
+
+def test_index_is_written_in_parts_that_grow_with_it(spark, tmp_path):
+    """Parts by size at any number of shuffle partitions, the same postings; of one time, too."""
+    texts = {f"{k:03d}": [None if (k + j) % 11 == 0 else f"w{(k * j) % 17}" for j in range(k % 23)] for k in range(300)}
+    rows = [(i, 202401 + k % 2, 1000 * (k % 2) + (k if k < 100 else 7), t if k % 9 else None, ["head", "head"] if k % 5 == 0 else [], None, "x" * 20) for k, (i, t) in enumerate(texts.items())]
+    docs = spark.createDataFrame(rows, "event_id string, shard_ym int, created_at bigint, content array<string>, title array<string>, summary array<string>, raw_content string")
+    where = str(tmp_path / "index")
+    for half in (docs.where("event_id < '150'"), docs.where("event_id >= '150'")):
+        index.write(half, where, part=300, tokens=20)
+    held = index.read(spark, where)
+    assert held.docs.count() == 300
+    assert {tuple(map(str, r)) for r in held.docs.select(*docs.columns).collect()} == {tuple(map(str, r)) for r in docs.collect()}
+    want = Counter((t, f, r[0], r[1], sum(x is not None for x in r[n])) for r in rows for n, f in ((3, "content"), (4, "title")) for t in r[n] or [] if t is not None)
+    got = {(r["term"], r["field"], r["event_id"], r["shard_ym"], r["length"]): r["tf"] for r in held.postings.collect()}
+    assert got == dict(want) and held.postings.count() == len(want)
+    assert held.postings.where(F.col("bucket") != index.bucket(F.col("term"))).count() == 0
+    assert len(held.docs.inputFiles()) > 2 * 4  # more than shuffle partitions
+    assert sum(r["n"] for r in held.sizes.collect()) == 300
