@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwave.model import DAMPING, ITERATIONS
-from siftwave.storage import shared_dir
+from siftwave.storage import shared_dir, stored
 
 
 def latest_lists(lists: DataFrame, author: str = "author", at: str = "created_at", tie: str = "tie") -> DataFrame:
@@ -49,9 +49,10 @@ def _ranks(pdf: pd.DataFrame, damping: float, iterations: int) -> pd.DataFrame:
 def pagerank(graph: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, small_edges: int = 2_000_000) -> DataFrame:
     """(node, rank).  Parallel edges count; the mass of nodes without followed
     keys goes to all.  Up to ``small_edges`` edges (counted first) are ranked in
-    one task; more by a join and an aggregation per round, with a checkpoint
-    every five so that the plan stays short.  An empty graph has no ranks."""
+    one task; more by a join and an aggregation per round, of links to nodes that
+    have links themselves, each stored so that the plan stays short.  An empty graph has no ranks."""
     kind = dict(graph.dtypes)["src"]
+    graph = stored(graph)  # it's read several times
     if graph.limit(small_edges + 1).count() <= small_edges:
         return graph.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda pdf: _ranks(pdf, damping, iterations), f"node {kind}, rank double")
     shared_dir(graph.sparkSession)
@@ -59,15 +60,24 @@ def pagerank(graph: DataFrame, damping: float = DAMPING, iterations: int = ITERA
     links = links.select("src", "dst", (F.col("m") / F.col("out")).alias("share")).checkpoint()
     nodes = graph.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     nodes = nodes.join(links.select(F.col("src").alias("node"), F.lit(False).alias("dangling")).distinct(), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling")).checkpoint()
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    n, lone = (int(x or 0) for x in nodes.agg(F.count(F.lit(1)), F.count_if("dangling")).first())
+    # All ranks are 1 together, so what nodes without links have is what those with links
+    # haven't: only links to these are followed in each round, all of them in the last.
+    # Ranks are ``base``, the same for all, and ``extra`` where a link leads.
+    inner = links.join(nodes.where("not dangling").select(F.col("node").alias("dst")), "dst", "left_semi").checkpoint()
+    some, base, lost, extra = not inner.isEmpty(), 1.0 / n, lone / n, None
     for k in range(iterations):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        got = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = nodes.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", "dangling", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % 5 == 4:
-            ranks = ranks.checkpoint()
-    return ranks.select("node", "rank")
+        fresh, total, last = (1 - damping) / n + damping * lost / n, 0.0, k == iterations - 1
+        use = links if last else inner
+        came = use.join(extra.withColumnRenamed("node", "src"), "src", "left") if extra is not None else use.withColumn("extra", F.lit(0.0))
+        got = came.groupBy(F.col("dst").alias("node")).agg((damping * F.sum((F.coalesce("extra", F.lit(0.0)) + base) * F.col("share"))).alias("extra"))
+        if last:
+            return nodes.join(got, "node", "left").select("node", (F.lit(fresh) + F.coalesce("extra", F.lit(0.0))).alias("rank"))
+        if some:
+            extra = stored(got)
+            total = extra.agg(F.sum("extra")).first()[0]
+        base, lost = fresh, 1 - (n - lone) * fresh - total
+    return nodes.select("node", F.lit(base).alias("rank"))
 
 
 def ranked_tiers(ranks: DataFrame) -> DataFrame:
@@ -78,6 +88,7 @@ def ranked_tiers(ranks: DataFrame) -> DataFrame:
 def world(graph: DataFrame, source: str = "followers", ranks: DataFrame | None = None) -> DataFrame:
     """(pubkey, followers, wot_tier, pagerank); ``source`` pagerank lets the
     rank's tier take the place of the followers' for every ranked key."""
+    graph = stored(graph) if source != "followers" else graph
     f = follower_counts(graph).select(F.col("dst").alias("pubkey"), "followers", follower_tier(F.col("followers")).alias("__f"))
     if source == "followers":
         return f.select("pubkey", "followers", F.col("__f").alias("wot_tier"), F.lit(None).cast("double").alias("pagerank"))

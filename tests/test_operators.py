@@ -70,6 +70,18 @@ def test_pagerank_paths_agree(spark):
     assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-9 for k in small) and abs(sum(small.values()) - 1) < 1e-9
 
 
+def test_ranks_of_a_graph_without_onward_links_take_one_join(spark, monkeypatch):
+    """Followed keys that follow nobody: rounds are scalars, and the ranks the same."""
+    stores, kept = [], trust.stored
+    monkeypatch.setattr(trust, "stored", lambda df: stores.append(df) or kept(df))
+    graph = spark.createDataFrame([(k % 30, 100 + k * k % 17) for k in range(90)], "src bigint, dst bigint")
+    small = {x["node"]: x["rank"] for x in trust.pagerank(graph).collect()}
+    ranks = trust.pagerank(graph, small_edges=1)
+    large = {x["node"]: x["rank"] for x in ranks.collect()}
+    assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-12 for k in small)
+    assert len(stores) == 2 and ranks._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_zaps_and_kinds(spark):
     bolt = "lnbc2500u1"
     from siftwave.functions import bech32
